@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from acctframe.llm import packing, token_files
+from acctframe.llm import audio, decontam, packing, token_files, warc_audit
 
 
 def queries() -> dict:
     return {
         "op3_hilbert_packing": packing.query,
         "op4_token_files": token_files.query,
+        "op8_aho_decontamination": decontam.query,
+        "op9_warc_merkle_audit": warc_audit.query,
+        "op10_audio_features": audio.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc_merkle_audit": warc_audit.SQL}
