@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from acctframe.llm import audio, decontam, packing, token_files, warc_audit
+from acctframe.llm import audio, decontam, packing, quality, suffix_dedup, token_files, warc_audit
 
 
 def queries() -> dict:
     return {
         "op3_hilbert_packing": packing.query,
         "op4_token_files": token_files.query,
+        "op5_ftrl_quality": quality.query,
+        "op6_suffix_dedup": suffix_dedup.query,
         "op8_aho_decontamination": decontam.query,
         "op9_warc_merkle_audit": warc_audit.query,
         "op10_audio_features": audio.query,
