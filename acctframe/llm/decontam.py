@@ -23,9 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from acctframe.llm import _io, _text
 
+#: Beside a caller's own columns the findings go by this name.
+COLUMN = "__decontamination"
 WINDOW, ALIGNED = 13, 7
 BLOCK_BYTES = 2 << 20
 SEP = np.ones(256, dtype=bool)
@@ -116,28 +119,30 @@ def _opened(id: int, broadcast) -> _Opened:
     return _Opened(id, broadcast)
 
 
+FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+SO_FAR = pa.struct([("runs", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+
+
 def _scan(batches: Iterator[pa.RecordBatch], items, last: bool) -> Iterator[pa.RecordBatch]:
     match = _matcher(items)
     for rows, data, offs in _text.text_slices(batches):
-        raw, before = data.tobytes(), {n: rows.column(n).to_pylist() for n in ("runs", "items")} if "runs" in rows.schema.names else None
+        raw, before = data.tobytes(), rows.column(COLUMN).to_pylist() if COLUMN in rows.schema.names else None
         found = []
         for i in range(rows.num_rows):
             words = normal_words(raw[offs[i] : offs[i + 1]])
             runs, ids = match.runs(words)
             if before:
-                flat = before["runs"][i]
-                runs, ids = runs + list(zip(flat[::2], flat[1::2], strict=True)), ids | set(before["items"][i])
-            found.append((len(words), merged(runs), sorted(ids)))
-        doc_ids = rows.column("doc_id")
-        if not last:
-            yield pa.RecordBatch.from_arrays([doc_ids, rows.column("text"), pa.array([[x for r in f[1] for x in r] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.string()))], names=["doc_id", "text", "runs", "items"])
-            continue
-        hit = [sum(b - a for a, b in f[1]) for f in found]
-        spans = [original_spans(data[offs[i] : offs[i + 1]], f[1]) if f[1] else [] for i, f in enumerate(found)]
-        yield pa.RecordBatch.from_arrays(
-            [doc_ids, rows.column("text"), pa.array([f[0] for f in found], pa.int64()), pa.array(hit, pa.int64()), pa.array([len(f[2]) for f in found], pa.int64()), pa.array([hashlib.sha256(",".join(f[2]).encode()).hexdigest() for f in found]), pa.array([h > 0 and 20 * h >= f[0] for h, f in zip(hit, found, strict=True)]), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-            names=["doc_id", "text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
-        )
+                flat = before[i]["runs"]
+                runs, ids = runs + list(zip(flat[::2], flat[1::2], strict=True)), ids | set(before[i]["items"])
+            runs = merged(runs)
+            if last:
+                hit = sum(b - a for a, b in runs)
+                spans = original_spans(data[offs[i] : offs[i + 1]], runs) if runs else []
+                found.append({"n_words": len(words), "n_hit": hit, "n_items": len(ids), "items_sha256": hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), "contaminated": hit > 0 and 20 * hit >= len(words), "spans": spans})
+            else:
+                found.append({"runs": [x for r in runs for x in r], "items": sorted(ids)})
+        names = [n for n in rows.schema.names if n != COLUMN]
+        yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), pa.array(found, FOUND if last else SO_FAR)], names=[*names, COLUMN])
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -156,30 +161,28 @@ def original_spans(data: np.ndarray, runs: list[tuple[int, int]]) -> list[dict]:
     return [{"start": int(starts[a]), "end": int(ends[b - 1])} for a, b in runs]
 
 
-SCANNED = "doc_id long, text string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
-
-
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs' doc_id and text with n_words, n_hit, n_items, items_sha256, contaminated and spans (byte ranges of hit words)."""
+    """docs with a struct column COLUMN: n_words, n_hit, n_items, items_sha256, contaminated and spans (byte ranges of hit words)."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
-    now = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    now, columns = docs, docs.schema
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # about BLOCK_BYTES
         block, last = _Block(spark.sparkContext.broadcast([tuple(r) for r in rows])), k == blocks - 1
-        now = now.mapInArrow(partial(_scan, items=block, last=last), SCANNED if last else "doc_id long, text string, runs array<long>, items array<string>")
+        kind = "struct<n_words:long,n_hit:long,n_items:long,items_sha256:string,contaminated:boolean,spans:array<struct<start:long,end:long>>>" if last else "struct<runs:array<long>,items:array<string>>"
+        now = now.mapInArrow(partial(_scan, items=block, last=last), StructType([*columns.fields, StructField(COLUMN, _parse_datatype_string(kind))]))
         if not last:
             now = _io.stored(now, "decontam")
     return now
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(_io.table(spark, sf_dir, "documents"), _io.table(spark, sf_dir, "benchmark")).drop("text", "spans")
+    docs = _io.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return scan(docs, _io.table(spark, sf_dir, "benchmark")).select("doc_id", *(f"{COLUMN}.{n}" for n in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that are not contaminated, with their columns."""
-    found = scan(docs, _io.table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", F.xxhash64("text").alias("text_hash")).distinct()
-    return docs.join(found, docs.doc_id.cast("long").eqNullSafe(found.doc_id) & (F.xxhash64(docs.text.cast("string")) == found.text_hash), "left_anti")
+    return scan(docs, _io.table(spark, sf_dir, "benchmark")).where(~F.col(f"{COLUMN}.contaminated")).drop(COLUMN)

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from acctframe.llm import _io, _text
 
@@ -143,10 +144,14 @@ def scores(data: np.ndarray, offs: np.ndarray, weights: np.ndarray) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + weights[-1], -35, 35)))
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+#: Beside a caller's own columns the score goes by this name.
+SCORE = "__quality_score"
+
+
+def _score(batches: Iterator[pa.RecordBatch], model, name: str = "score") -> Iterator[pa.RecordBatch]:
     weights = np.frombuffer(model.value, "<f4")
     for rows, data, offs in _text.text_slices(batches):
-        yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in rows.schema.names), pa.array(scores(data, offs, weights))], names=[*rows.schema.names, "score"])
+        yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in rows.schema.names), pa.array(scores(data, offs, weights))], names=[*rows.schema.names, name])
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -166,5 +171,5 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents scored 0.5 or more, with all their columns."""
     weights = fit(docs, _io.table(spark, sf_dir, "labels"))
     model = spark.sparkContext.broadcast(weights.tobytes())
-    schema = docs.withColumn("score", F.lit(0.0)).schema
-    return docs.mapInArrow(partial(_score, model=model), schema).where("score >= 0.5").drop("score")
+    schema = StructType([*docs.schema.fields, StructField(SCORE, DoubleType())])
+    return docs.mapInArrow(partial(_score, model=model, name=SCORE), schema).where(F.col(SCORE) >= 0.5).drop(SCORE)

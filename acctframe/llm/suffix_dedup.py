@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from acctframe.llm import _io, _text
 
 LENGTH, K = 400, 32
+#: Beside a caller's own columns the byte ranges go by this name.
+RANGES = "__repeated_ranges"
 SHARD_KINDS = 2048
 U64 = np.uint64
 
@@ -306,7 +308,7 @@ def _kept(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offs in _text.text_slices(batches):
         raw, out = data.tobytes(), []
-        for i, ranges in enumerate(rows.column("ranges").to_pylist()):
+        for i, ranges in enumerate(rows.column(RANGES).to_pylist()):
             gone = merged_ranges(ranges or [])
             out.append((int(offs[i + 1] - offs[i]), sum(b - a for a, b in gone), len(gone), hashlib.sha256(_kept(raw[offs[i] : offs[i + 1]], gone)).hexdigest()))
         cols = list(zip(*out, strict=True))
@@ -316,19 +318,23 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offs in _text.text_slices(batches):
         raw = data.tobytes()
-        texts = []
-        for i, ranges in enumerate(rows.column("ranges").to_pylist()):
+        texts: list[str | None] = []
+        null = rows.column("text").is_null().to_pylist()
+        for i, ranges in enumerate(rows.column(RANGES).to_pylist()):
+            if null[i]:
+                texts.append(None)
+                continue
             body = raw[offs[i] : offs[i + 1]]
             texts.append(_kept(body, merged_ranges(ranges)).decode("utf-8", "ignore") if ranges else body.decode("utf-8"))
-        names = [n for n in rows.schema.names if n != "ranges"]
+        names = [n for n in rows.schema.names if n != RANGES]
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else rows.column(n) for n in names], names=names)
 
 
 def with_ranges(docs: DataFrame) -> DataFrame:
-    """docs with a column `ranges` of the byte ranges that go (null if none)."""
-    ranges = repeated_ranges(docs).groupBy(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th")).agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    mine = docs.doc_id.cast("long").eqNullSafe(ranges.r_id) & (F.xxhash64(docs.text.cast("string")) == ranges.r_th)
-    return docs.join(ranges, mine, "left").drop("r_id", "r_th")
+    """docs with a column RANGES of the byte ranges that go (null if none)."""
+    ranges = repeated_ranges(docs).groupBy(F.col("doc_id").alias("__r_id"), F.col("th").alias("__r_th")).agg(F.collect_list(F.struct("start", "end")).alias(RANGES))
+    mine = docs.doc_id.cast("long").eqNullSafe(ranges["__r_id"]) & (F.xxhash64(docs.text.cast("string")) == ranges["__r_th"])
+    return docs.join(ranges, mine, "left").drop("__r_id", "__r_th")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,5 +343,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents, without repeated strings (nor halves of characters at their ends)."""
-    return with_ranges(docs).mapInArrow(_strip, docs.schema)
+    """Pipeline stage: all documents, without repeated strings (nor halves of characters at their ends); n_chars follows the text."""
+    out = with_ranges(docs).mapInArrow(_strip, docs.schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+    return out

@@ -1,9 +1,37 @@
-"""Corpus pipeline: the stages come with their operators."""
+"""Corpus pipeline: quality filter, near-duplicate removal, repeat removal, decontamination, packing.
 
-STAGES = []
+Each stage gets all that the one before it kept, and all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from acctframe.llm import _bpe, _io, chosen_path, decontam, packing, quality, suffix_dedup
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The last stage: pieces of packed sequences."""
+    return packing.pack(docs, _bpe.default_vocabulary())
+
+
+STAGES = [
+    ("quality_classifier", quality.keep_good),
+    ("ngram_jaccard_join", chosen_path.keep_one),
+    ("suffix_array_dedup", suffix_dedup.strip_repeats),
+    ("benchmark_decontamination", decontam.keep_clean),
+    ("hilbert_packing", pack),
+]
+
+#: Trained models and iterated joins are beyond SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _io.table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = _io.stored(docs, name)
+            _io.release(spark)
     return docs
