@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from acctframe.llm import audio, chosen_path, decontam, packing, quality, suffix_dedup, token_files, warc_audit
+from acctframe.llm import audio, chosen_path, decontam, katz, packing, quality, suffix_dedup, token_files, warc_audit
 
 
 def queries() -> dict:
     return {
+        "op1_katz_backoff": katz.query,
         "op2_chosen_path_join": chosen_path.query,
         "op3_hilbert_packing": packing.query,
         "op4_token_files": token_files.query,
