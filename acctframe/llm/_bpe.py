@@ -91,17 +91,28 @@ class Encoder:
                 self.young, self.old = {}, young
         return found
 
+    def _ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """(ids of the distinct pieces, their numbers, each piece's place among the distinct ones)."""
+        unique, where, inverse = np.unique(_text.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        found = self._lookup(unique.tolist(), data, starts[where], ends[where])
+        return found, np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 2, inverse
+
+    def sizes(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, numbers of ids) of all pieces of the texts."""
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        starts, ends = pieces(data, offs)
+        _, size, inverse = self._ids(data, starts, ends)
+        return starts, size[inverse]
+
     def batch(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the uint32 ids of the texts data[offs[i]:offs[i+1]], one after the other."""
         docs = len(offs) - 1
         if not len(data):
             return np.zeros(0, "<u4"), np.zeros(docs + 1, np.int64)
         starts, ends = pieces(data, offs)
-        hashes = _text.word_hashes(data, starts, ends)
-        unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        found = self._lookup(unique.tolist(), data, starts[where], ends[where])
+        found, size, inverse = self._ids(data, starts, ends)
         flat = np.frombuffer(b"".join(found), dtype="<u4")
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 2
         base = np.cumsum(size) - size
         n = size[inverse]
         out = np.zeros(len(n) + 1, np.int64)

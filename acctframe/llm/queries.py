@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from acctframe.llm import audio, chosen_path, decontam, katz, packing, quality, suffix_dedup, token_files, warc_audit
+from acctframe.llm import audio, chosen_path, decontam, edit_counts, katz, packing, quality, suffix_dedup, token_files, warc_audit
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_token_files": token_files.query,
         "op5_ftrl_quality": quality.query,
         "op6_suffix_dedup": suffix_dedup.query,
+        "op7_edit_counts": edit_counts.query,
         "op8_aho_decontamination": decontam.query,
         "op9_warc_merkle_audit": warc_audit.query,
         "op10_audio_features": audio.query,
