@@ -67,7 +67,7 @@ class Engine:
         return self.accounts(level).where(P.TokenField(field, value, owner).column(set()))
 
     def explain(self, program: bytes, filters: list, level: str = "processed") -> planner.Plan:
-        return planner.plan(planner.collect_statistics(self.accounts(level), [bytearray(program)], filters), program, filters)
+        return planner.plan(planner.collect_statistics(self.accounts(level), [program], filters), program, filters)
 
     # JSON-RPC
 

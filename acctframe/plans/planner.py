@@ -91,7 +91,7 @@ def ordered_filters(stats: Statistics, program, filters: list) -> list:
 def collect_statistics(accounts: DataFrame, programs: list, filters: list) -> Statistics:
     """Counts for the keys that a query names, in one pass; nothing else is collected."""
     have = set(accounts.columns)
-    wanted = [F.count_if(F.col("owner") == F.lit(p)).alias(f"p{i}") for i, p in enumerate(programs)] + [F.count_if(f.column(have)).alias(f"f{i}") for i, f in enumerate(filters)]
+    wanted = [F.count_if(F.col("owner") == F.lit(bytearray(p) if isinstance(p, bytes) else p)).alias(f"p{i}") for i, p in enumerate(programs)] + [F.count_if(f.column(have)).alias(f"f{i}") for i, f in enumerate(filters)]
     row = accounts.agg(*wanted).first() if wanted else {}
     of = lambda kind, key: {key(f): row[f"f{i}"] for i, f in enumerate(filters) if isinstance(f, kind)}
     return Statistics({p: row[f"p{i}"] for i, p in enumerate(programs)}, of(DataSize, lambda f: f.size), of(Discriminator, lambda f: f.bytes), of(Memcmp, lambda f: (f.offset, f.bytes)))

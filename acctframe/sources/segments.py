@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 #: Fixed values of the format.
 HEADER, ENTRY = struct.Struct("<IIQQQQI4x"), struct.Struct("<I4xQQ32sII")
@@ -88,8 +88,8 @@ class Reader(DataSourceReader):
         return _read(partition.path)
 
 
-class StreamReader(SimpleDataSourceStreamReader):
-    """Segments in name order; the offset is the number taken, so each is read once."""
+class StreamReader(DataSourceStreamReader):
+    """Segments in name order, a partition each; the offset is the number taken, so each is read once."""
 
     def __init__(self, path: str):
         self.path = path
@@ -97,12 +97,14 @@ class StreamReader(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"files": 0}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        files = _files(self.path)
-        return (r for p in files[start["files"] :] for r in _read(p)), {"files": len(files)}
+    def latestOffset(self) -> dict:
+        return {"files": len(_files(self.path))}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return (r for p in _files(self.path)[start["files"] : end["files"]] for r in _read(p))
+    def partitions(self, start: dict, end: dict) -> list[Part]:
+        return [Part(p) for p in _files(self.path)[start["files"] : end["files"]]]
+
+    def read(self, partition: Part) -> Iterator[tuple]:
+        return _read(partition.path)
 
     def commit(self, end: dict) -> None:
         pass
@@ -119,7 +121,7 @@ class SegmentSource(DataSource):
     def reader(self, schema) -> Reader:
         return Reader(self.options["path"])
 
-    def simpleStreamReader(self, schema) -> StreamReader:
+    def streamReader(self, schema) -> StreamReader:
         return StreamReader(self.options["path"])
 
 
