@@ -5,7 +5,7 @@ A byte goes if a string of LENGTH bytes that covers it also starts anywhere else
 1. Each window of LENGTH bytes is named by the smallest hash among its K-byte strings (the leftmost on a tie), which depends on its bytes
    only; neighbouring windows with the same one form a segment of a document.  Equal windows therefore lie in
    segments of the same name, at the same distance from it.
-2. Segments with equal bytes (by a 128-bit hash) repeat as a whole.  One of each kind goes on if other kinds share its name.
+2. Segments with equal bytes (by two 64-bit hashes, the name and one of all bytes) repeat as a whole.  One of each kind goes on if other kinds share its name.
 3. Those are dealt to shards by name.  A shard sorts all suffixes of its segments by Larsson-Sadakane refinement, finds
    common prefixes by Kasai's recurrence, and marks windows that share LENGTH bytes with a neighbour.
 4. A name with more than SHARD_KINDS kinds is dealt over several shards; each also gives the sorted digests of its windows,
@@ -64,13 +64,13 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             first, count, name = window_names(data[base : offs[i + 1]])
             cols[0].append(_text.to_i64(name))
-            cols[1] += [xxhash.xxh3_128_digest(raw[base + a : base + a + n + LENGTH - 1]) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
+            cols[1] += [xxhash.xxh3_64_intdigest(raw[base + a : base + a + n + LENGTH - 1]) - (1 << 63) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
             cols[2].extend([doc_id] * len(first))
             cols[3].extend([th] * len(first))
             cols[4].append(first)
             cols[5].append(count)
         if cols[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols[0])), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(np.concatenate(cols[4])), pa.array(np.concatenate(cols[5]))], names=["name", "kind", "doc_id", "th", "first", "windows"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols[0])), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(np.concatenate(cols[4])), pa.array(np.concatenate(cols[5]))], names=["name", "kind", "doc_id", "th", "first", "windows"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,10 +104,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     start, tail = loads(text), np.minimum(n - np.arange(n), 8)
-    order = np.lexsort((tail, start)) if n and text.min() == 0 else np.argsort(start, kind="stable")
-    near = n - order < 8  # a suffix shorter than eight bytes comes before its own continuation by zeros
-    if near.any() and text.min() != 0:
-        order = np.lexsort((tail, start))
+    # zeros after the end set short suffixes first and apart, unless the text has zeros too
+    order = np.argsort(start) if text.min() else np.lexsort((tail, start))
     key = start[order]
     new = np.concatenate(([True], (key[1:] != key[:-1]) | (tail[order][1:] != tail[order][:-1])))
     head = np.flatnonzero(new)
@@ -120,10 +118,11 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     while len(slots):
         these = order[slots]
         group, then = rank[these], rank[np.minimum(these + depth, n)]
-        by = np.lexsort((then, group))
-        these, group, then = these[by], group[by], then[by]
+        pair = group * (n + 1) + then + 1
+        by = np.argsort(pair)
+        these, pair = these[by], pair[by]
         order[slots] = these
-        new = np.concatenate(([True], (group[1:] != group[:-1]) | (then[1:] != then[:-1])))
+        new = np.concatenate(([True], pair[1:] != pair[:-1]))
         head = np.flatnonzero(new)
         size = np.diff(np.append(head, len(slots)))
         rank[these] = np.repeat(slots[head], size)
@@ -264,16 +263,20 @@ def _merge(key, lists):
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), start, end: byte ranges that go; they may overlap."""
+    """doc_id, th (hash of the text), ranges: byte ranges (start, end) that go; they may overlap."""
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    segments = _io.stored(keyed.mapInArrow(_segments, "name long, kind binary, doc_id long, th long, first long, windows long"), "segments")
-    one = F.struct("doc_id", "th", "first", "windows")
-    kinds = _io.stored(segments.groupBy("name", "kind").agg(F.count("*").alias("n"), F.min(one).alias("one")), "kinds")
+    segments = _io.stored(keyed.mapInArrow(_segments, "name long, kind long, doc_id long, th long, first long, windows long"), "segments")
+    one = [F.first(c).alias(c) for c in ("doc_id", "th", "first", "windows")]  # all of one row
+    kinds = _io.stored(segments.groupBy("name", "kind").agg(F.count("*").alias("n"), *one), "kinds")
+    _io.release(spark)
+    end = F.col("first") + F.col("windows") + LENGTH - 1
+    whole = segments.join(kinds.where("n > 1").select("name", "kind"), ["name", "kind"]).select("doc_id", "th", F.col("first").alias("start"), end.alias("end"))
+    whole = _io.stored(whole.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "whole")
+    _io.drop_stored(segments)
     _io.release(spark)
-    whole = segments.join(kinds.where("n > 1").select("name", "kind"), ["name", "kind"]).select("doc_id", "th", F.col("first").alias("start"), (F.col("first") + F.col("windows") + LENGTH - 1).alias("end"))
     names = kinds.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = kinds.join(names, "name").select("name", "kind", "n", "kinds", "one.*")
+    wanted = kinds.join(names, "name")
     total = wanted.agg(F.count("*")).first()[0]
     shards = max(1, -(-total // SHARD_KINDS))
     split = F.ceil(F.col("kinds") / SHARD_KINDS)
@@ -284,10 +287,16 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     cut = texts.mapInArrow(_cut, "shard long, name long, split long, doc_id long, th long, first long, windows long, n long, bytes binary")
     made = cut.repartition(max(1, min(shards, 1 << 15)), "shard").sortWithinPartitions("shard", "name").mapInArrow(_shards, "doc_id long, th long, start long, end long, name long, range long, shard long, single boolean, digests binary, places binary")
     made = _io.stored(made, "shards")
+    _io.drop_stored(kinds)
     _io.release(spark)
     ranges = made.where("name is null").select("doc_id", "th", "start", "end")
     merged = made.where("name is not null").select("doc_id", "th", "name", "range", "shard", "single", "digests", "places").groupBy("name", "range").applyInPandas(_merge, "doc_id long, th long, start long, end long")
-    return whole.unionByName(ranges).unionByName(merged)
+    ranges = ranges.unionByName(merged).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    out = _io.stored(whole.unionByName(ranges).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
+    _io.drop_stored(whole)
+    _io.drop_stored(made)
+    _io.release(spark)
+    return out
 
 
 def merged_ranges(ranges: list[dict]) -> list[tuple[int, int]]:
@@ -332,7 +341,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_ranges(docs: DataFrame) -> DataFrame:
     """docs with a column RANGES of the byte ranges that go (null if none)."""
-    ranges = repeated_ranges(docs).groupBy(F.col("doc_id").alias("__r_id"), F.col("th").alias("__r_th")).agg(F.collect_list(F.struct("start", "end")).alias(RANGES))
+    ranges = repeated_ranges(docs).select(F.col("doc_id").alias("__r_id"), F.col("th").alias("__r_th"), F.col("ranges").alias(RANGES))
     mine = docs.doc_id.cast("long").eqNullSafe(ranges["__r_id"]) & (F.xxhash64(docs.text.cast("string")) == ranges["__r_th"])
     return docs.join(ranges, mine, "left").drop("__r_id", "__r_th")
 
