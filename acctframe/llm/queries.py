@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc_merkle_audit": warc_audit.SQL}
+    return {"op8_aho_decontamination": decontam.SQL, "op9_warc_merkle_audit": warc_audit.SQL}
