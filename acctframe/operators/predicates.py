@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from acctframe.functions import codecs
 from acctframe.functions import columns as C
 
 #: (offset, length) presets of byte matches that writers materialize (fixed values).
@@ -107,3 +108,15 @@ def tracked_offsets(accounts: DataFrame, offsets: list[tuple[int, int]]) -> Data
     """The byte-match table: owner, offset, length, bytes, pubkey for each tracked (offset, length) that an account's data covers."""
     entries = F.array(*[F.struct(F.lit(o).cast("long").alias("offset"), F.lit(n).cast("long").alias("length"), C.bytes_at("data", o, n).alias("bytes")) for o, n in offsets if n > 0])
     return accounts.select("owner", "pubkey", F.inline(F.filter(entries, lambda e: e.bytes.isNotNull())))
+
+
+def metadata(accounts: DataFrame) -> DataFrame:
+    """All fields but the data, of which only the length stays; scans then skip the data column where data_len is stored."""
+    size = F.col("data_len") if "data_len" in accounts.columns else C.data_size()
+    return accounts.select(*[c for c in accounts.columns if c not in ("data", "data_len")], size.alias("data_len"))
+
+
+def response_rows(accounts: DataFrame, encoding: str = "base64") -> DataFrame:
+    """Accounts as responses show them: keys in base58, data encoded, the place left out."""
+    data = {"base64": F.base64("data"), "base58": codecs.to_base58("data"), "binary": F.col("data")}[encoding]
+    return accounts.select(codecs.to_base58("pubkey").alias("pubkey"), codecs.to_base58("owner").alias("owner"), "lamports", data.alias("data"), F.lit(encoding).alias("encoding"), "executable", "rent_epoch", "slot", C.data_size().alias("space"))

@@ -70,6 +70,12 @@ def dictionary(keys: DataFrame, key: str, first_seen: str, start: int = 1) -> Da
     return local.join(base.select("part", "base"), "part").select(key, (F.col("n") + F.col("base") + (start - 1)).alias("id"))
 
 
+def extend_dictionary(known: DataFrame, keys: DataFrame, key: str, first_seen: str) -> DataFrame:
+    """A stored dictionary (key, id) and its new keys, whose ids go on from the largest there is."""
+    top = known.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    return known.unionByName(dictionary(keys.join(known, key, "left_anti"), key, first_seen, start=top + 1))
+
+
 def first_n(ids: DataFrame, n: int) -> DataFrame:
     return ids.orderBy(ids.columns[0]).limit(n)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from acctframe.functions import codecs
 from acctframe.functions import columns as C
 
 
@@ -59,5 +61,15 @@ def ordered_hash(accounts: DataFrame, by: str, key: str = "pubkey", data: str =
     return accounts.groupBy(by).agg(F.sha2(F.aggregate(F.array_sort(F.collect_list(leaf)), F.lit(bytearray(b"")).cast("binary"), lambda acc, x: F.concat(acc, x.h)), 256).alias("batch_sha256"))
 
 
+def merkle_roots(accounts: DataFrame, by: str, key: str = "pubkey", data: str = "data") -> DataFrame:
+    """Merkle root over the (key, data) hashes of each group in key order; groups are to be bounded (a file, a segment, a slot)."""
+    leaves = accounts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), C.account_hash(key, data).alias("h")))).alias("leaves"))
+    return leaves.select(by, F.pandas_udf(_roots, "string")(F.transform("leaves", lambda x: F.hex(x.h))).alias("root"))
+
+
+def _roots(leaves: pd.Series) -> pd.Series:
+    return leaves.map(lambda hs: codecs.merkle_root([bytes.fromhex(h) for h in hs]).hex())
+
+
 def largest_token_accounts(tokens: DataFrame, mint, n: int = 20) -> DataFrame:
     return tokens.where(F.col("mint") == mint).orderBy(F.desc("amount"), "pubkey").limit(n)

@@ -1,5 +1,6 @@
 """The engine's queries against DuckDB, and its codecs, sources, planner, paging, streams, caches and interface."""
 
+import hashlib
 import math
 import os
 import struct
@@ -232,6 +233,21 @@ def test_statistics(spark, accounts):
     assert [r.column for r in planner.advise_from_log(log).collect()] == ["owner"]
 
 
+def test_roots_and_projections(spark, accounts):
+    rows = sorted(accounts.collect(), key=lambda r: bytes(r.pubkey))
+    want = {}
+    for owner in (key(100), key(101)):
+        leaves = [hashlib.sha256(bytes(r.pubkey) + bytes(r.data)).digest() for r in rows if bytes(r.owner) == owner]
+        want[owner] = codecs.merkle_root(leaves).hex()
+    assert {bytes(r.owner): r.root for r in stats.merkle_roots(accounts, "owner").collect()} == want
+    assert "data" not in P.metadata(accounts).columns and P.metadata(accounts).agg(F.max("data_len")).first()[0] == 8
+    r = P.response_rows(accounts, "base58").orderBy("slot").first()
+    assert r.pubkey == codecs.base58_encode(key(1)) and codecs.base58_decode(r.data) == bytes([1]) * 6 and r.space == 6
+    known = spark.createDataFrame([("a", 1), ("b", 2)], "k string, id long")
+    more = sets.extend_dictionary(known, spark.createDataFrame([("b", 1), ("d", 3), ("c", 4)], "k string, seen long"), "k", "seen")
+    assert {r.k: r.id for r in more.collect()} == {"a": 1, "b": 2, "d": 3, "c": 4}
+
+
 def test_caches(spark, tmp_path):
     now = [0.0]
     c = cache.PointCache(2, clock=lambda: now[0])
