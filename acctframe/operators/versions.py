@@ -37,11 +37,16 @@ def accounts_at(layers: list[DataFrame], up_to: int, key: str = "pubkey") -> Dat
 
 
 def merge_delta(base: DataFrame, delta: DataFrame, key: str = "pubkey") -> DataFrame:
-    """accounts_at for a base that holds each key once: only base rows with a key in delta are aggregated, the others pass."""
-    keys = delta.select(key).distinct()
-    touched = base.join(keys, key, "left_semi")
-    rest = base.join(keys, key, "left_anti")
-    return rest.unionByName(latest(touched.unionByName(delta, allowMissingColumns=True), key, layer="storage_type"), allowMissingColumns=True)
+    """accounts_at for a base that holds each key once: the delta is reduced first, then one full outer join takes the newer
+    side of each key, so the base is shuffled once and never aggregated."""
+    columns = list(dict.fromkeys([*base.columns, *delta.columns]))
+    left = base.select(F.struct(*base.columns).alias("b"))
+    right = latest(delta, key, layer="storage_type" if "storage_type" in delta.columns else None).select(F.struct(*delta.columns).alias("d"))
+    both = left.join(right, F.col(f"b.{key}") == F.col(f"d.{key}"), "full_outer")
+    side = lambda s, df: C.version(f"{s}.slot", f"{s}.write_version", f"{s}.storage_type" if "storage_type" in df.columns else F.lit(None).cast("string"))
+    newer = F.col("d").isNotNull() & (F.col("b").isNull() | (side("d", delta) >= side("b", base)))
+    field = lambda s, df, c: F.col(f"{s}.{c}") if c in df.columns else F.lit(None)
+    return both.select(*[F.when(newer, field("d", delta, c)).otherwise(field("b", base, c)).alias(c) for c in columns])
 
 
 def slot_range(df: DataFrame, low: int, high: int, start: str = "slot", end: str | None = None) -> DataFrame:
