@@ -81,10 +81,26 @@ def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE) -> tuple[
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
+#: Bytes of text whose words are hashed at once.
+HASH_BLOCK = 1 << 22
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[start:end] for each word."""
+    """64-bit hash of data[start:end] for each word (words in order); long texts are taken block by block."""
     if not len(starts):
         return np.zeros(0, U64)
+    if len(data) <= HASH_BLOCK:
+        return _word_hashes(data, starts, ends)
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data), HASH_BLOCK // 2)))
+    out = []
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(starts)], strict=True):
+        if b > a:
+            low = starts[a]
+            out.append(_word_hashes(data[low : ends[b - 1]], starts[a:b] - low, ends[a:b] - low))
+    return np.concatenate(out)
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = powers(BASE, len(data)), powers(BASE_INV, len(data))
     total = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * up, out=total[1:])

@@ -27,6 +27,8 @@ UNIT = 192
 RATE, UP, DOWN, TAPS = 16_000, 2, 3, 12
 OUT_RATE = RATE * UP / DOWN
 WIN, HOP, MELS, FRAMES = 256, 128, 24, 64
+#: Samples of a phase, or frames, that are worked on at once.
+BLOCK = 4096
 #: Where sound starts and ends, as shares of the range of a medium's frame energies.
 START, END = 0.6, 0.4
 
@@ -77,9 +79,9 @@ def resample(x: np.ndarray) -> np.ndarray:
     windows = np.lib.stride_tricks.sliding_window_view(padded, TAPS)
     out = np.empty(n, np.float32)
     for first in range(UP):
-        m = np.arange(first, n, UP)
-        if len(m):
-            out[first::UP] = windows[m * DOWN // UP + TAPS // 2] @ PHASES[(first * DOWN) % UP]
+        for a in range(first, n, UP * BLOCK):
+            m = np.arange(a, min(n, a + UP * BLOCK), UP)
+            out[m] = windows[m * DOWN // UP + TAPS // 2] @ PHASES[(first * DOWN) % UP]
     return out
 
 
@@ -89,10 +91,10 @@ def log_mel(x: np.ndarray) -> np.ndarray:
         x = np.concatenate((x, np.zeros(WIN - len(x), np.float32)))
     frames = np.lib.stride_tricks.sliding_window_view(x, WIN)[::HOP]
     out = np.empty((len(frames), MELS), np.float32)
-    for a in range(0, len(frames), 4096):
-        spectrum = np.fft.rfft(frames[a : a + 4096] * WINDOW, axis=1)
+    for a in range(0, len(frames), BLOCK):
+        spectrum = np.fft.rfft(frames[a : a + BLOCK] * WINDOW, axis=1)
         power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-        out[a : a + 4096] = np.log10(power @ BANK + 1e-6)
+        out[a : a + BLOCK] = np.log10(power @ BANK + 1e-6)
     return out
 
 

@@ -50,7 +50,11 @@ def shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.nd
     second = np.flatnonzero(data == 0xC3) + 1
     second = second[second < len(data)]
     upper[second[C3_UPPER[data[second]]]] = 1
-    count = lambda x: (np.concatenate(([0], np.cumsum(x)))[ends] - np.concatenate(([0], np.cumsum(x)))[starts])
+
+    def count(x: np.ndarray) -> np.ndarray:
+        before = np.concatenate(([0], np.cumsum(x)))
+        return before[ends] - before[starts]
+
     size, up, letters, digits = ends - starts, count(upper), count(LETTER[data]), count(DIGIT[data])
     marks = np.minimum(size - letters - digits, 4)
     case = np.where(up == 0, 0, np.where(up == 1, 1, np.where(2 * up >= letters, 3, 2)))

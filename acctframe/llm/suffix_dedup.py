@@ -37,8 +37,20 @@ SHARD_KINDS = 2048
 U64 = np.uint64
 
 
+#: Windows of a text that are named at once; a segment that lies over the edge counts as two, which only costs a comparison.
+NAME_BLOCK = 1 << 20
+
+
 def window_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first windows, window counts, names) of the segments of a text of LENGTH bytes or more."""
+    parts = []
+    for at in range(0, len(data) - LENGTH + 1, NAME_BLOCK):
+        first, count, name = _window_names(data[at : at + NAME_BLOCK + LENGTH - 1])
+        parts.append((first + at, count, name))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _window_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h, width = data.astype(U64) + U64(1), 1
     while width < K:
         h = h[:-width] * U64(pow(_text.BASE, width, 1 << 64)) + h[width:]

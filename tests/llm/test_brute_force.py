@@ -307,6 +307,21 @@ def test_pipeline(spark, sf):
     assert set(tokens) == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_blocks_do_not_change_results(monkeypatch):
+    rng = np.random.default_rng(2)
+    text = rng.integers(97, 110, 60_000).astype(np.uint8)
+    text[rng.integers(0, len(text), 9000)] = 32
+    starts, ends, _ = _text.words(text, np.array([0, len(text)]))
+    whole = _text.word_hashes(text, starts, ends)
+    names = suffix_dedup.window_names(text)
+    monkeypatch.setattr(_text, "HASH_BLOCK", 5000)
+    monkeypatch.setattr(suffix_dedup, "NAME_BLOCK", 7000)
+    assert (_text.word_hashes(text, starts, ends) == whole).all()
+    first, count, name = suffix_dedup.window_names(text)
+    spread = lambda f, n, v: np.repeat(v, n)
+    assert (spread(first, count, name) == spread(*names)).all() and len(first) > len(names[0])
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, sf, name):
     duck = duckdb.connect()
