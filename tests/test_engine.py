@@ -316,3 +316,19 @@ def test_entry_works_without_the_optional_part():
     root = os.path.dirname(os.path.dirname(__file__))
     code = "import sys; sys.modules['acctframe.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'gpa_program' in q and not any(n.startswith('op') for n in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True).returncode == 0
+
+
+def test_jobs(spark, tmp_path):
+    from acctframe import jobs
+
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "1.0").write_bytes(records.pack_record(key(1), key(2), b"abc", slot=7))
+    jobs.main(["bootstrap", str(tmp_path / "files"), str(tmp_path / "base"), "--partitions", "1"], spark)
+    assert [r.slot for r in spark.read.parquet(str(tmp_path / "base")).collect()] == [7]
+    (tmp_path / "segments").mkdir()
+    (tmp_path / "segments" / "a.seg").write_bytes(segments.pack_segment([(8, 1, key(1), b"new"), (9, 2, key(3), b"x")], 8))
+    jobs.main(["ingest", str(tmp_path / "segments"), str(tmp_path / "delta"), str(tmp_path / "ckpt")], spark)
+    assert spark.read.parquet(str(tmp_path / "delta")).count() == 2
+    jobs.main(["compact", *[str(tmp_path / n) for n in ("base", "delta", "base2", "delta2")], "--root", "8", "--partitions", "1"], spark)
+    assert [(r.slot, bytes(r.data)) for r in spark.read.parquet(str(tmp_path / "base2")).collect()] == [(8, b"new")]
+    jobs.main(["stats", str(tmp_path / "files")], spark)
