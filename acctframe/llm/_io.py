@@ -39,7 +39,7 @@ def drop_stored(df: DataFrame) -> None:
     """Deletes the files of a stored() table once nothing will read it again."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}  # names only; at most one folder
     for root in roots:
         if "/acctframe/" in root:
             path = jvm.org.apache.hadoop.fs.Path(root)

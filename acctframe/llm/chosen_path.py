@@ -220,16 +220,19 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, kinds, found): doc_id and kind of each row; kind, copies and least of each kind; and for each kind and
     bucket with a link: kind, root (a kind it is joined with), n_links (documents), linked (kinds)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    members = _io.stored(keyed.mapInArrow(_sketch, "doc_id long, th long, kind long, sketch binary"), "sketches")
-    has = members.where("kind is not null")
+    drawn = _io.stored(keyed.mapInArrow(_sketch, "doc_id long, th long, kind long, sketch binary"), "sketches")
+    members = _io.stored(drawn.select("doc_id", "th", "kind"), "members")
+    has = drawn.where("kind is not null")
     kinds = _io.stored(has.groupBy("kind").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th")).alias("one")), "kinds")
     sketches = _io.stored(has.select("kind", "sketch").dropDuplicates(["kind"]), "kind-sketches")
+    _io.drop_stored(drawn)
     _io.release(docs.sparkSession)
-    paths, leaves = sketches.mapInArrow(partial(_split, first=True), "path long, kind long"), []
+    paths, leaves, used = sketches.mapInArrow(partial(_split, first=True), "path long, kind long"), [], []
     for depth in range(DEPTH):
         paths = _io.stored(paths, "paths")
         size = _io.stored(paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
         leaves.append(paths.join(size.where(F.col("n") <= BUCKET).select("path"), "path").select("path", "kind", F.col("path").alias("bucket"), F.lit(-1).alias("side")))
+        used += [paths, size]
         big = size.where(F.col("n") > BUCKET)
         if big.isEmpty():
             break
@@ -242,18 +245,25 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     for x in leaves[1:]:
         leaf = leaf.unionByName(x)
     leaf = _io.stored(leaf, "leaves")
+    for x in used:
+        _io.drop_stored(x)
     every = leaf.groupBy("kind").agg(F.sort_array(F.collect_set("bucket")).alias("paths"))
     full = leaf.select("kind", "bucket", "side").join(every, "kind").join(sketches, "kind")
     spark = docs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     near = _io.stored(full.repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_candidates, "bucket long, kind long, close array<long>"), "near")
+    _io.drop_stored(leaf)
+    _io.drop_stored(sketches)
     _io.release(spark)
     live = near.select("kind").distinct().join(kinds, "kind").select("kind", F.col("one.doc_id").alias("l_id"), F.col("one.th").alias("l_th"))
     texts = keyed.join(live, keyed.doc_id.eqNullSafe(live.l_id) & (keyed.th == live.l_th)).select("kind", "text")
     sets = _io.stored(texts.mapInArrow(_sets, "kind long, values binary").dropDuplicates(["kind"]).join(kinds.select("kind", "copies"), "kind"), "sets")
     _io.release(spark)
     checked = near.join(sets, "kind").repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_verify, "kind long, root long, n_links long, linked array<long>")
-    return members, kinds, _io.stored(checked, "links")
+    found = _io.stored(checked, "links")
+    _io.drop_stored(sets)
+    _io.drop_stored(near)
+    return members, kinds, found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -267,6 +277,8 @@ def components(edges: DataFrame) -> DataFrame:
         up = near.select(F.col("node").alias("up"), F.col("label").alias("far"))
         new = _io.stored(near.join(up, near.label == up.up, "left").select("node", F.least("label", "far").alias("label"), "was"), "labels")
         done = new.where("label <> was").isEmpty()
+        _io.drop_stored(near)
+        _io.drop_stored(labels)
         labels = new.select("node", "label")
         if done:
             return labels
