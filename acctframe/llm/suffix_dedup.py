@@ -67,22 +67,50 @@ def _window_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return first, np.diff(np.append(first, len(at))), h[at[first]]
 
 
+SEGMENTS = "slice long, name long, kind long, windows long, doc_id long, th long, first long, more array<struct<doc_id:long,th:long,first:long>>"
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per kind of segment in a slice of documents: its first occurrence there, and the others as a list."""
+    from pyspark import TaskContext
+
+    at = TaskContext.get().partitionId() << 32
     for rows, data, offs in _text.text_slices(batches):
-        raw, cols = data.tobytes(), [[] for _ in range(6)]
-        for i, (doc_id, th) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("th").to_pylist(), strict=True)):
+        raw, parts = data.tobytes(), []
+        for i in np.flatnonzero(np.diff(offs) >= LENGTH).tolist():
             base = int(offs[i])
-            if offs[i + 1] - base < LENGTH:
-                continue
             first, count, name = window_names(data[base : offs[i + 1]])
-            cols[0].append(_text.to_i64(name))
-            cols[1] += [xxhash.xxh3_64_intdigest(raw[base + a : base + a + n + LENGTH - 1]) - (1 << 63) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
-            cols[2].extend([doc_id] * len(first))
-            cols[3].extend([th] * len(first))
-            cols[4].append(first)
-            cols[5].append(count)
-        if cols[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols[0])), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(np.concatenate(cols[4])), pa.array(np.concatenate(cols[5]))], names=["name", "kind", "doc_id", "th", "first", "windows"])
+            kind = np.array([xxhash.xxh3_64_intdigest(raw[base + a : base + a + n + LENGTH - 1]) for a, n in zip(first.tolist(), count.tolist(), strict=True)], U64)
+            parts.append((name, kind, count, first, np.full(len(first), i)))
+        if parts:
+            name, kind, count, first, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((kind, name))
+            name, kind, count, first, doc = name[order], kind[order], count[order], first[order], doc[order]
+            head = np.concatenate(([True], (name[1:] != name[:-1]) | (kind[1:] != kind[:-1])))
+            ids, hashes = rows.column("doc_id").take(pa.array(doc)), rows.column("th").take(pa.array(doc))
+            lead, rest = pa.array(np.flatnonzero(head)), pa.array(np.flatnonzero(~head))
+            others = pa.StructArray.from_arrays([ids.take(rest), hashes.take(rest), pa.array(first).take(rest)], names=["doc_id", "th", "first"])
+            ends = np.concatenate((np.cumsum(~head)[np.flatnonzero(head)], [int((~head).sum())])).astype(np.int32)
+            more = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), others)
+            cols = [pa.array(np.full(len(lead), at)), *(pa.array(_text.to_i64(x)).take(lead) for x in (name, kind)), pa.array(count).take(lead), ids.take(lead), hashes.take(lead), pa.array(first).take(lead), more]
+            yield pa.RecordBatch.from_arrays(cols, names=["slice", "name", "kind", "windows", "doc_id", "th", "first", "more"])
+        at += 1
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Byte ranges of each document from the repeated segments of its slice."""
+    for batch in batches:
+        for found in batch.column("found").to_pylist():
+            ranges: dict[tuple, list[dict]] = {}
+            for f in found:
+                size = f["windows"] + LENGTH - 1
+                for o in (f, *f["more"]):
+                    ranges.setdefault((o["doc_id"], o["th"]), []).append({"start": o["first"], "end": o["first"] + size})
+            merged = [[{"start": a, "end": b} for a, b in merged_ranges(r)] for r in ranges.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in ranges], pa.int64()), pa.array([k[1] for k in ranges], pa.int64()), pa.array(merged, RANGE_LIST)], names=["doc_id", "th", "ranges"])
+
+
+RANGE_LIST = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,13 +306,14 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), ranges: byte ranges (start, end) that go; they may overlap."""
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    segments = _io.stored(keyed.mapInArrow(_segments, "name long, kind long, doc_id long, th long, first long, windows long"), "segments")
+    segments = _io.stored(keyed.mapInArrow(_segments, SEGMENTS), "segments")
     one = [F.first(c).alias(c) for c in ("doc_id", "th", "first", "windows")]  # all of one row
-    kinds = _io.stored(segments.groupBy("name", "kind").agg(F.count("*").alias("n"), *one), "kinds")
+    counted = segments.select("name", "kind", "doc_id", "th", "first", "windows", (F.size("more") + 1).alias("n"))
+    kinds = _io.stored(counted.groupBy("name", "kind").agg(F.sum("n").alias("n"), *one), "kinds")
     _io.release(spark)
-    end = F.col("first") + F.col("windows") + LENGTH - 1
-    whole = segments.join(kinds.where("n > 1").select("name", "kind"), ["name", "kind"]).select("doc_id", "th", F.col("first").alias("start"), end.alias("end"))
-    whole = _io.stored(whole.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "whole")
+    found = segments.join(kinds.where("n > 1").select("name", "kind"), ["name", "kind"], "left_semi").select("slice", F.struct("doc_id", "th", "first", "windows", "more").alias("f"))
+    whole = found.groupBy("slice").agg(F.collect_list("f").alias("found"))  # no more than the slice's own segments
+    whole = _io.stored(whole.select("found").mapInArrow(_whole, "doc_id long, th long, ranges array<struct<start:long,end:long>>"), "whole")
     _io.drop_stored(segments)
     _io.release(spark)
     names = kinds.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1")
