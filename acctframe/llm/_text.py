@@ -82,7 +82,7 @@ def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE) -> tuple[
 
 
 #: Bytes of text whose words are hashed at once.
-HASH_BLOCK = 1 << 22
+HASH_BLOCK = 1 << 20
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

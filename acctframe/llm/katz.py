@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from acctframe.llm import _io, _text
 
 CUT = 5
-VOCABULARY = 1 << 20
+VOCABULARY = 1 << 19
 #: Histories with a number below this have their pairs dealt over all buckets.
 SPREAD = 4096
-SLICE, BUCKET_BYTES = 4 << 20, 8 << 20
+SLICE, BUCKET_BYTES, ROWS = 2 << 20, 4 << 20, 50_000
 U64, TOP = np.uint64, np.uint64(1 << 63)
 END = np.uint64(0xE3D0000000000001)
 
@@ -127,48 +127,58 @@ def _pair_blocks(batches: Iterator[pa.RecordBatch], vocabulary, buckets: int) ->
         yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array([pack(delta(h[a:b]), w[a:b], n[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["bucket", "block"])
 
 
-COUNTED = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("block", pa.binary()), ("h", pa.int64()), ("w", pa.int64()), ("m", pa.list_(pa.int64())), ("p", pa.float64())])
+LOW = [f"m{r}" for r in range(1, CUT + 2)]
+COUNTED = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("block", pa.binary()), ("h", pa.int64()), ("w", pa.int64()), *((m, pa.int64()) for m in LOW), ("p", pa.float64())])
+COUNTED_DDL = ", ".join(f"{f.name} {({pa.int64(): 'long', pa.string(): 'string', pa.binary(): 'binary', pa.float64(): 'double'})[f.type]}" for f in COUNTED)
+
+
+def _batch(n: int, **cols) -> pa.RecordBatch:
+    """n rows of COUNTED with these columns; the others are null."""
+    return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in COUNTED], schema=COUNTED)
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch], vocabulary, p1) -> Iterator[pa.RecordBatch]:
-    """Counts of a bucket's pairs ('pairs'), how many have each low count ('low'), histories' sums ('history'), and the
+    """Counts of a bucket's pairs ('pairs', with how many have each low count), histories' sums ('history'), and the
     pairs whose word has no number ('rare')."""
     voc, held, now = vocabulary.value, [], None
 
-    def done():
-        h, w, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    def done(blocks: list[bytes]):
+        parts = [unpack(b) for b in blocks]
+        h, w, n = (np.concatenate([undelta(x[0]) for x in parts]), np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts]))
+        del parts
         order = np.lexsort((w, h))
-        h, w, n = h[order], w[order], n[order]
+        h, w, n = h[order], w[order], n[order].astype(np.int64)
+        del order
         first = _firsts(h, w)
-        c = np.add.reduceat(n.astype(np.int64), first)
-        h, w = h[first], w[first]
+        c, h, w = np.add.reduceat(n, first), h[first], w[first]
+        del n, first
+        yield _batch(1, kind=["pairs"], bucket=[now], block=[pack(delta(h), w, c)], **{m: [int((c == r + 1).sum())] for r, m in enumerate(LOW)})
         head = _firsts(h)
-        low = [np.add.reduceat((c == r).astype(np.int64), head) for r in range(1, CUT + 2)]
         numbered = w < TOP
         known = np.zeros(len(w))
         known[numbered] = p1.value[w[numbered].astype(np.int64)]
         hs = h[head].copy()
         inner = hs < TOP
         hs[inner] = voc.words[hs[inner].astype(np.int64)]
-        k = len(head)
-        yield pa.RecordBatch.from_arrays([pa.array(["pairs"]), pa.array([now]), pa.array([pack(delta(h), w, c)], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([[int((c == r).sum()) for r in range(1, CUT + 2)]], COUNTED.field("m").type), pa.nulls(1, pa.float64())], schema=COUNTED)
-        yield pa.RecordBatch.from_arrays([pa.array(["history"] * k), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(_text.to_i64(hs)), pa.nulls(k, pa.int64()), pa.array(list(np.stack(low, axis=1)), COUNTED.field("m").type), pa.array(np.add.reduceat(known, head))], schema=COUNTED)
+        sums = {m: np.add.reduceat((c == r + 1).astype(np.int64), head) for r, m in enumerate(LOW)} | {"p": np.add.reduceat(known, head), "h": _text.to_i64(hs)}
+        for a in range(0, len(head), ROWS):
+            part = {k: v[a : a + ROWS] for k, v in sums.items()}
+            yield _batch(len(part["h"]), kind=["history"] * len(part["h"]), **part)
         rare = np.flatnonzero(~numbered)
-        if len(rare):
-            k = len(rare)
-            of = np.repeat(hs, np.diff(np.append(head, len(h))))[rare]
-            yield pa.RecordBatch.from_arrays([pa.array(["rare"] * k), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(_text.to_i64(of)), pa.array(_text.to_i64(w[rare])), pa.nulls(k, COUNTED.field("m").type), pa.nulls(k, pa.float64())], schema=COUNTED)
+        of = hs[np.searchsorted(head, rare, "right") - 1]
+        for a in range(0, len(rare), ROWS):
+            k = rare[a : a + ROWS]
+            yield _batch(len(k), kind=["rare"] * len(k), h=_text.to_i64(of[a : a + ROWS]), w=_text.to_i64(w[k]))
 
     for batch in batches:
         for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), strict=True):
             if held and bucket != now:
-                yield from done()
+                yield from done(held)
                 held = []
             now = bucket
-            h, w, n = unpack(block)
-            held.append((undelta(h), w, n))
+            held.append(block)
     if held:
-        yield from done()
+        yield from done(held)
 
 
 def discounts(low: list[int]) -> np.ndarray:
@@ -224,18 +234,23 @@ def fit(train: DataFrame) -> Model:
     _io.release(spark)
     buckets = max(8, -(-_io.size_of(texts) // BUCKET_BYTES))
     blocks = texts.mapInArrow(partial(_pair_blocks, vocabulary=voc_b, buckets=buckets), "bucket long, block binary")
-    counted = _io.stored(blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(partial(_count_pairs, vocabulary=voc_b, p1=p1_b), "kind string, bucket long, block binary, h long, w long, m array<long>, p double"), "pairs")
+    counted = _io.stored(blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(partial(_count_pairs, vocabulary=voc_b, p1=p1_b), COUNTED_DDL), "pairs")
     _io.release(spark)
-    low = counted.where("kind = 'pairs'").agg(*(F.coalesce(F.sum(F.col("m")[r]), F.lit(0)) for r in range(CUT + 1))).first()
+    low = counted.where("kind = 'pairs'").agg(*(F.coalesce(F.sum(m), F.lit(0)) for m in LOW)).first()
     d2 = discounts(list(low))
     p_w = (discount_column(F.col("c"), d1) * F.col("c") / whole)
     rare = counted.where("kind = 'rare'").select("h", "w").join(words.select("w", p_w.alias("p")), "w").groupBy("h").agg(F.sum("p").alias("p"), F.lit(0.0).alias("lost"))
-    gone = sum(((F.col("m")[r - 1] * (r * float(1 - d2[r]))) for r in range(1, CUT + 1)), F.lit(0.0))
+    gone = sum(((F.col(LOW[r - 1]) * (r * float(1 - d2[r]))) for r in range(1, CUT + 1)), F.lit(0.0))
     sums = counted.where("kind = 'history'").select("h", "p", gone.alias("lost")).unionByName(rare).groupBy("h").agg(F.sum("p").alias("seen"), F.sum("lost").alias("lost"))
     big = F.col("c") + F.when(F.coalesce("lost", F.lit(0.0)) > 0, 0).otherwise(1)
     left = F.when(F.coalesce("lost", F.lit(0.0)) > 0, F.col("lost")).otherwise(1.0) / big
     stats = words.join(sums, words.w == sums.h, "left").select("w", "c", F.log10(big).alias("d_log"), F.when(F.col("seen").isNull(), 0.0).otherwise(F.log10(left / F.greatest(1 - F.col("seen"), F.lit(1e-300)))).alias("a_log"), F.log10(p_w).alias("p_log"))
-    return Model(_io.stored(stats, "word-stats"), counted.where("kind = 'pairs'").select("bucket", "block"), buckets, total, types, d2, unknown, threshold)
+    stats = _io.stored(stats, "word-stats")
+    pairs = _io.stored(counted.where("kind = 'pairs'").select("bucket", "block"), "pair-counts")
+    _io.drop_stored(counted)
+    _io.drop_stored(words)
+    _io.release(spark)
+    return Model(stats, pairs, buckets, total, types, d2, unknown, threshold)
 
 
 class Scorer:
