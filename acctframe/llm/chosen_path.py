@@ -6,9 +6,9 @@ are equal form one kind; the join is over kinds.
 A set is embedded as PLACES minhashes.  A run begins with all kinds in one node; a node picks BRANCH of the places, from a
 hash of its path, and a kind goes to the child of the value that it has there.  Nodes of at most BUCKET kinds are compared
 by brute force: kinds whose minhashes agree in CLOSE of the places go on to an exact check on whole sets.  Larger
-nodes split again; after DEPTH levels the rest is compared in blocks, each pair of blocks a task's work.  Kinds with similarity
+nodes split again; after DEPTH levels the rest is compared in blocks, each pair of blocks a task's work, so that a node compares each of its pairs once.  Kinds with similarity
 s share s * BRANCH children on average, and a run loses a pair with s = 0.8 with a probability of at most 1/16 (the extinction
-of that branching process), so RUNS runs find all but 1/16**RUNS of such pairs, 0.99998.  A pair that several buckets hold counts
+of that branching process), so RUNS runs find all but 1/16**RUNS of such pairs, 0.99998.  A pair that several nodes hold counts
 in the one whose path is smallest.
 
 Defined cases: a null text, or one without words, is in no class but its own; repeated rows and equal texts are copies;
@@ -150,14 +150,14 @@ def close_pairs(sketch: np.ndarray, side: np.ndarray | None = None) -> tuple[np.
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Brute force in a bucket: each kind with the kinds after it that look close, of those that no smaller path holds too."""
+    """Brute force in a bucket: each kind with the kinds after it that look close, of those that no node with a smaller path holds too."""
     for group in _groups(batches, "bucket"):
         group = group.combine_chunks()
         sketch = _matrix(group.column("sketch"))
         kind, mine = group.column("kind").to_numpy(), group.column("bucket")[0].as_py()
-        half = group.column("side").to_numpy()
+        half, node = group.column("side").to_numpy(), group.column("path")[0].as_py()
         i, j = close_pairs(sketch, half if (half >= 0).all() else None)
-        smaller = [frozenset(p for p in x if p < mine) for x in group.column("paths").to_pylist()]
+        smaller = [frozenset(p for p in x if p < node) for x in group.column("paths").to_pylist()]
         fresh = np.fromiter((smaller[a].isdisjoint(smaller[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
         i, j = i[fresh], j[fresh]
         if len(i):
@@ -207,7 +207,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocked(rows: DataFrame, size: DataFrame) -> DataFrame:
-    """Rows (path, kind) of nodes too large for a bucket, dealt to a bucket for each pair of blocks."""
+    """Rows (path, kind) of nodes too large for a bucket, dealt to a bucket for each pair of blocks.
+
+    Kinds of one block share all of its buckets but meet only in its own, so pairs are told apart by node and not by bucket."""
     blocks = F.ceil(F.col("n") / (BUCKET // 2)).cast("int")
     mine = F.pmod(F.xxhash64("kind"), F.col("blocks")).cast("int")
     dealt = rows.join(size, "path").withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -247,8 +249,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     leaf = _io.stored(leaf, "leaves")
     for x in used:
         _io.drop_stored(x)
-    every = leaf.groupBy("kind").agg(F.sort_array(F.collect_set("bucket")).alias("paths"))
-    full = leaf.select("kind", "bucket", "side").join(every, "kind").join(sketches, "kind")
+    every = leaf.groupBy("kind").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    full = leaf.select("kind", "path", "bucket", "side").join(every, "kind").join(sketches, "kind")
     spark = docs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     near = _io.stored(full.repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_candidates, "bucket long, kind long, close array<long>"), "near")

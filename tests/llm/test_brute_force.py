@@ -110,6 +110,19 @@ def test_chosen_path(spark, sf, docs, monkeypatch, bucket):
     assert {k: got[k].class_id for k in docs} == {k: root(k) for k in docs}
 
 
+@pytest.mark.parametrize("bucket", [20, 16, 12])
+def test_near_alike_kinds_of_one_node(spark, monkeypatch, bucket):
+    """Nodes of up to 30 kinds that no level splits, in 3, 4 and 5 blocks."""
+    monkeypatch.setattr(chosen_path, "BUCKET", bucket)
+    words = [f"w{i}" for i in range(600)]
+    texts = {k: words[: 20 * k] + [f"own{k}"] + words[20 * k + 1 :] for k in range(30)}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in texts.items()}
+    assert all(len(a & b) >= 0.9 * len(a | b) for a in sets.values() for b in sets.values())
+    got = by_doc(chosen_path.classes(spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")))
+    assert {k: got[k].n_links for k in texts} == dict.fromkeys(texts, 29)
+    assert {got[k].class_id for k in texts} == {0}
+
+
 def test_hilbert_curve_visits_neighbours():
     bits = 3
     grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * 3, indexing="ij"), -1).reshape(-1, 3)
