@@ -138,43 +138,93 @@ def tensor_array(values: pa.Array) -> pa.Array:
     return pa.ExtensionArray.from_storage(TENSOR, values.cast(TENSOR.storage_type))
 
 
-def _tensors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Floats that are gathered before a batch of rows is handed on.
+GATHERED = 1 << 20
+STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("blocks", pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("tensor", pa.list_(pa.float32())), ("sound_s", pa.list_(pa.list_(pa.float64())))])))])
+STORED_DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, blocks array<struct<start_s: double, end_s: double, tensor: array<float>, sound_s: array<array<double>>>>"
+
+
+def _blocks(mel: np.ndarray, sound: np.ndarray) -> tuple[list, list, np.ndarray, list]:
+    """(start_s, end_s, tensors, sound_s) of the blocks of FRAMES frames."""
+    cuts = range(0, len(mel), FRAMES)
+    tensor = np.zeros((len(cuts), FRAMES, MELS), np.float32)
+    tensor.reshape(-1, MELS)[: len(mel)] = mel
+    spans = [[] for _ in cuts]
+    for a, b in sound.tolist():
+        for k in range(a // FRAMES, (b - 1) // FRAMES + 1):
+            spans[k].append([float(max(a, k * FRAMES)) * HOP / OUT_RATE, float(min(b, (k + 1) * FRAMES)) * HOP / OUT_RATE])
+    return [c * HOP / OUT_RATE for c in cuts], [(min(c + FRAMES, len(mel)) - 1) * HOP / OUT_RATE + WIN / OUT_RATE for c in cuts], tensor, spans
+
+
+def _analysed_batch(rows: list, blocks: list) -> pa.RecordBatch:
+    starts, ends, tensor, spans = (list(x) for x in zip(*blocks, strict=True))
+    flat = np.concatenate([t.reshape(-1) for t in tensor])
+    n = np.cumsum([0, *map(len, starts)])
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n[-1] + 1) * (FRAMES * MELS), pa.int32()), pa.array(flat))
+    each = pa.StructArray.from_arrays([pa.array(sum(starts, [])), pa.array(sum(ends, [])), lists, pa.array(sum(spans, []), pa.list_(pa.list_(pa.float64())))], names=["start_s", "end_s", "tensor", "sound_s"])
+    cols = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), STORED, strict=False)]
+    return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(n, pa.int32()), each)], names=STORED.names)
+
+
+def _analysed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, blocks, held = [], [], 0
     for batch in batches:
-        for doc_id, medium in zip(batch.column("doc_id").to_pylist(), batch.column("media"), strict=True):
-            mel, sound = features(np.frombuffer(from_wav(memoryview(medium.as_buffer())), np.uint8))
-            cuts = range(0, len(mel), FRAMES)
-            blocks = np.zeros((len(cuts), FRAMES, MELS), np.float32)
-            blocks.reshape(-1, MELS)[: len(mel)] = mel
-            spans = [[[float(max(a, c)) * HOP / OUT_RATE, float(min(b, c + FRAMES)) * HOP / OUT_RATE] for a, b in sound if a < c + FRAMES and b > c] for c in cuts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([doc_id] * len(cuts), pa.int64()), pa.array(range(len(cuts)), pa.int64()), pa.array([c * HOP / OUT_RATE for c in cuts]), pa.array([(min(c + FRAMES, len(mel)) - 1) * HOP / OUT_RATE + WIN / OUT_RATE for c in cuts]), pa.array(list(blocks.reshape(len(cuts), -1)), pa.list_(pa.float32())), pa.array(spans, pa.list_(pa.list_(pa.float64())))],
-                names=["doc_id", "block", "start_s", "end_s", "tensor", "sound_s"],
-            )
+        for doc_id, n, medium in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media"), strict=True):
+            raw = memoryview(medium.as_buffer())
+            payload = from_wav(raw)
+            rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest()))
+            blocks.append(_blocks(*features(np.frombuffer(payload, np.uint8))))
+            held += blocks[-1][2].size
+            if held >= GATHERED:
+                yield _analysed_batch(rows, blocks)
+                rows, blocks, held = [], [], 0
+    if rows:
+        yield _analysed_batch(rows, blocks)
+
+
+def analysed(media: DataFrame) -> DataFrame:
+    """One row per medium: doc_id, digests of the text and the medium, and blocks: of each FRAMES frames the time span, the flat
+    FRAMES x MELS tensor, and the spans of sound in it."""
+    return media.mapInArrow(_analysed, STORED_DDL)
 
 
 def tensors(media: DataFrame) -> DataFrame:
     """One row per FRAMES frames: doc_id, block, time span, the flat FRAMES x MELS tensor, and the spans of sound in it."""
-    return media.select("doc_id", "media").mapInArrow(_tensors, "doc_id long, block long, start_s double, end_s double, tensor array<float>, sound_s array<array<double>>")
+    each = analysed(media).select("doc_id", F.posexplode("blocks").alias("block", "b"))
+    return each.select("doc_id", F.col("block").cast("long").alias("block"), "b.start_s", "b.end_s", "b.tensor", "b.sound_s")
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The feature text of each row of analysed(), from its tensors and spans alone."""
+    frame = lambda t: round(t * OUT_RATE / HOP)
     for batch in batches:
-        out = []
-        for n, medium in zip(batch.column("n_bytes").to_pylist(), batch.column("media"), strict=True):
-            raw = memoryview(medium.as_buffer())
-            payload = from_wav(raw)
-            mel, sound = features(np.frombuffer(payload, np.uint8))
-            mean = ",".join(f"{v:.2f}" for v in mel.mean(axis=0, dtype=np.float64))
-            out.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), f"frames={len(mel)};sound={len(sound)};sound_frames={int((sound[:, 1] - sound[:, 0]).sum())};mel={mean}"))
-        if out:
-            cols = list(zip(*out, strict=True))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-
-def digests(media: DataFrame) -> DataFrame:
-    return media.mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        if not batch.num_rows:
+            continue
+        col = batch.column("blocks")
+        each = col.flatten()
+        tensor = each.field("tensor").flatten().to_numpy(zero_copy_only=False).reshape(-1, MELS)
+        ends, spans = each.field("end_s").to_numpy(), each.field("sound_s").to_pylist()
+        at, out = 0, []
+        for n in np.diff(col.offsets.to_numpy()).tolist():
+            frames = frame(ends[at + n - 1] - WIN / OUT_RATE) + 1
+            mean = ",".join(f"{v:.2f}" for v in tensor[at * FRAMES : at * FRAMES + frames].mean(axis=0, dtype=np.float64))
+            sound, length, last = 0, 0, -1
+            for x in spans[at : at + n]:
+                for a, b in x:
+                    sound += frame(a) != last  # what goes on over a block's border is one sound
+                    length, last = length + frame(b) - frame(a), frame(b)
+            out.append(f"frames={frames};sound={sound};sound_frames={length};mel={mean}")
+            at += n
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in STORED.names[:-1]), pa.array(out, pa.string())], names=[*STORED.names[:-1], "feature"])
+
+
+def digests(found: DataFrame) -> DataFrame:
+    """doc_id, digests and feature of the rows of analysed()."""
+    return found.mapInArrow(_summary, STORED_DDL[: STORED_DDL.index("blocks")] + "feature string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(_io.stored(to_media(_io.table(spark, sf_dir, "documents")), "media"))
+    media = _io.stored(to_media(_io.table(spark, sf_dir, "documents")), "media")
+    found = _io.stored(analysed(media), "tensors")
+    _io.drop_stored(media)
+    return digests(found)

@@ -309,6 +309,21 @@ def test_audio(spark, sf, docs):
     assert audio.tensor_array(rows.column("tensor").combine_chunks()).type.shape == [64, 24]
 
 
+def test_audio_query_stores_tensors(spark, sf, docs, monkeypatch):
+    kept, stored = {}, _io.stored
+    monkeypatch.setattr(_io, "stored", lambda df, kind: kept.setdefault(kind, stored(df, kind)))
+    monkeypatch.setattr(audio, "GATHERED", 5000)
+    got, found = by_doc(audio.query(spark, sf)), by_doc(kept["tensors"])
+    assert set(found) == set(docs) and max(len(r.blocks) for r in found.values()) > 1
+    for k, t in docs.items():
+        b = t.encode()
+        mel, sound = audio.features(np.frombuffer(b + b" " * (max(192, -(-len(b) // 192) * 192) - len(b)), np.uint8))
+        flat = np.array([x.tensor for x in found[k].blocks], np.float32).reshape(-1, audio.MELS)
+        assert len(flat) % audio.FRAMES == 0 and (flat[: len(mel)] == mel).all() and not flat[len(mel) :].any()
+        mean = ",".join(f"{v:.2f}" for v in mel.mean(axis=0, dtype=np.float64))
+        assert got[k].feature == f"frames={len(mel)};sound={len(sound)};sound_frames={(sound[:, 1] - sound[:, 0]).sum()};mel={mean}"
+
+
 def test_pipeline(spark, sf):
     docs = _io.table(spark, sf, "documents")
     want = collections.Counter()
