@@ -123,6 +123,17 @@ def test_near_alike_kinds_of_one_node(spark, monkeypatch, bucket):
     assert {got[k].class_id for k in texts} == {0}
 
 
+def test_similar_sets_of_unlucky_minhashes_are_close():
+    """Of many pairs that share 8 of 10 values, also those whose minhashes agree least."""
+    n, rng = 60_000, np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (n, 10), dtype=np.uint64)
+    both = np.stack((base[:, :9], np.delete(base, 7, axis=1)), axis=1)
+    sketch = chosen_path.minhashes(both.reshape(-1), np.arange(2 * n + 1) * 9).reshape(n, 2, -1)
+    agree = np.count_nonzero(sketch[:, 0] == sketch[:, 1], axis=1)
+    worst = np.argsort(agree)[:20]
+    assert agree[worst[0]] < 85 and all(len(chosen_path.close_pairs(sketch[k])[0]) == 1 for k in worst)
+
+
 def test_hilbert_curve_visits_neighbours():
     bits = 3
     grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * 3, indexing="ij"), -1).reshape(-1, 3)
