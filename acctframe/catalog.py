@@ -124,6 +124,21 @@ def sort_slot_desc(spark, d):
     return paging.sort_accounts(blob_parts(spark, d), "slot_desc").limit(100).select("pubkey", "slot")
 
 
+@query("SELECT pubkey, lamports FROM blob_parts ORDER BY lamports, pubkey", "blob_parts")
+def sort_lamports_all(spark, d):
+    return paging.sort_accounts(blob_parts(spark, d), "lamports").select("pubkey", "lamports")
+
+
+@query("SELECT pubkey, data_len FROM blob_docs ORDER BY data_len, pubkey", "blob_docs")
+def sort_data_size_all(spark, d):
+    return paging.sort_accounts(blob_docs(spark, d), "data_size").select("pubkey", "data_len")
+
+
+@query("SELECT pubkey, slot FROM blob_parts ORDER BY slot DESC, pubkey", "blob_parts")
+def sort_slot_desc_all(spark, d):
+    return paging.sort_accounts(blob_parts(spark, d), "slot_desc").select("pubkey", "slot")
+
+
 @query("SELECT pubkey, data_len FROM blob_docs WHERE owner = 'src3' ORDER BY pubkey LIMIT 10 OFFSET 10", "blob_docs")
 def gpa_page_n(spark, d):
     rows = P.program_accounts(blob_docs(spark, d), DOC_OWNER)
