@@ -427,6 +427,18 @@ def bitmap_union(spark, d):
     return sets.bitmap_size(sets.bitmap_or(posts, [3, 4], "mint"))
 
 
+@query("SELECT token_owner FROM tok_lineitem WHERE mint = 3 INTERSECT SELECT token_owner FROM tok_lineitem WHERE mint = 4", "tok_lineitem")
+def bitmap_intersection_ids(spark, d):
+    posts = sets.to_bitmaps(tok_lineitem(spark, d).select("mint", (F.col("token_owner") + 1).alias("id")), "mint")
+    return sets.bitmap_ids(sets.bitmap_and(posts, [3, 4], "mint")).select((F.col("id") - 1).alias("token_owner"))
+
+
+@query("SELECT token_owner FROM tok_lineitem WHERE mint = 3 UNION SELECT token_owner FROM tok_lineitem WHERE mint = 4", "tok_lineitem")
+def bitmap_union_ids(spark, d):
+    posts = sets.to_bitmaps(tok_lineitem(spark, d).select("mint", (F.col("token_owner") + 1).alias("id")), "mint")
+    return sets.bitmap_ids(sets.bitmap_or(posts, [3, 4], "mint")).select((F.col("id") - 1).alias("token_owner"))
+
+
 @query(f"({A} UNION {B}) EXCEPT SELECT token_owner FROM tok_lineitem WHERE mint = 12", "tok_lineitem")
 def lsm_view(spark, d):
     a, b = _sides(spark, d)

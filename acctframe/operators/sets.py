@@ -57,6 +57,20 @@ def bitmap_size(bitmaps: DataFrame) -> DataFrame:
     return bitmaps.agg(F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0)).alias("n"))
 
 
+def bitmap_ids(bitmaps: DataFrame) -> DataFrame:
+    """The ids (dense, from 1) that bitmaps hold, one row each: all set bits."""
+    byte = lambda i: F.substring(F.col("bitmap"), i + 1, F.lit(1))
+    used = F.filter(F.sequence(F.lit(0), F.octet_length("bitmap") - 1), lambda i: byte(i) != F.lit(bytearray(1)))
+    each = bitmaps.select("bucket", "bitmap", F.explode(used).alias("i")).select("bucket", "i", F.conv(F.hex(byte(F.col("i"))), 16, 10).cast("int").alias("bits"))
+    bits = each.select("bucket", "i", F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda b: F.getbit("bits", b) == 1)).alias("b"))
+    return bits.select(((F.col("bucket") - 1) * 32768 + F.col("i") * 8 + F.col("b") + 1).alias("id"))
+
+
+def bitmap_first(bitmaps: DataFrame) -> DataFrame:
+    """The least id that bitmaps hold, null if there is none: the first set bit."""
+    return bitmap_ids(bitmaps).agg(F.min("id").alias("id"))
+
+
 def dictionary(keys: DataFrame, key: str, first_seen: str, start: int = 1) -> DataFrame:
     """Dense ids in order of first appearance, from `start`, without a single-task window.
 

@@ -227,6 +227,13 @@ def test_sets(spark):
     assert sets.bitmap_size(sets.bitmap_and(posts, ["a", "c"], "k")).first().n == 0
 
 
+def test_bitmaps_give_their_ids(spark):
+    want = [1, 2, 8, 9, 128, 32768, 32769, 40000, 100_000]
+    bitmaps = sets.to_bitmaps(spark.createDataFrame([(i,) for i in want], "id long"))
+    assert sorted(r.id for r in sets.bitmap_ids(bitmaps).collect()) == want and sets.bitmap_first(bitmaps).first().id == 1
+    assert sets.bitmap_first(bitmaps.where("bucket > 1")).first().id == 32769 and sets.bitmap_first(bitmaps.limit(0)).first().id is None
+
+
 def test_statistics(spark, accounts):
     assert stats.hit_rate(spark.createDataFrame([], "hit boolean")).first().hit_rate == 0
     assert stats.mean_time(spark.createDataFrame([(3,), (4,)], "t long"), "t").first().mean_time == 3
