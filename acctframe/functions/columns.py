@@ -111,6 +111,16 @@ def account_hash(pubkey="pubkey", data="data") -> Column:
     return sha256(F.concat(col(pubkey), col(data)))
 
 
+def metadata_hash(pubkey="pubkey", lamports="lamports", owner="owner", slot="slot") -> Column:
+    """SHA-256 of an account's fields without its data."""
+    return sha256(F.concat_ws("|", F.hex(col(pubkey).cast("binary")), col(lamports).cast("string"), F.hex(col(owner).cast("binary")), col(slot).cast("string")).cast("binary"))
+
+
+def verify(data, expected) -> Column:
+    """Whether data has this SHA-256 (32 bytes); null where either is."""
+    return sha256(data) == col(expected)
+
+
 def query_key(parts: Iterable[Column]) -> Column:
     """A hash of a query that does not depend on the order of its filters."""
     return F.sha2(F.concat_ws("&", F.array_sort(F.array(*parts))), 256)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import hashlib
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,26 @@ def offset_stats(tracked: DataFrame) -> DataFrame:
     return out.withColumn("mean_entries", F.when(F.col("unique_keys") == 0, 0.0).otherwise(F.col("entries") / F.col("unique_keys")))
 
 
+def touch(entries: DataFrame, accesses: DataFrame, key: str = "pubkey") -> DataFrame:
+    """Entries (key, last_access) after accesses (key, slot): the last access only rises; keys that were not there come in."""
+    both = entries.select(key, "last_access").unionByName(accesses.select(key, F.col("slot").alias("last_access")))
+    return both.groupBy(key).agg(F.max("last_access").alias("last_access"))
+
+
+def promote(entries: DataFrame, keys: DataFrame, current: int, key: str = "pubkey") -> DataFrame:
+    """Entries after some of them were promoted: theirs counts as an access now, so they are hot and in no other tier."""
+    up = entries.select(key).join(keys.select(key).distinct(), key, "left_semi").select(key, F.lit(current).cast("long").alias("slot"))
+    return touch(entries, up, key)
+
+
+def demote(entries: DataFrame, keys: DataFrame, current: int, to: str, key: str = "pubkey") -> DataFrame:
+    """Entries after some were moved down to 'warm' or 'cold': their last access is as old as the tier asks for, at least."""
+    down = keys.select(key).distinct().withColumn("__down", F.lit(True))
+    limit = F.lit(current - {"warm": C.HOT_SLOTS, "cold": C.WARM_SLOTS}[to]).cast("long")
+    joined = entries.join(down, key, "left")
+    return joined.select(key, F.when(F.col("__down"), F.least("last_access", limit)).otherwise(F.col("last_access")).alias("last_access"))
+
+
 def tier_counts(accounts: DataFrame, last_access: Column, current: Column, by: str = "owner") -> DataFrame:
     """Hot, warm and cold accounts and the hot share, per program and over all."""
     tiered = accounts.select(by, C.tier(last_access, current).alias("tier"))
@@ -55,20 +79,66 @@ def moving_mean(times: Column) -> Column:
     return F.aggregate(times, F.lit(0.0), lambda mean, x: (mean + x) / 2)
 
 
-def ordered_hash(accounts: DataFrame, by: str, key: str = "pubkey", data: str = "data") -> DataFrame:
-    """One SHA-256 over (key, data) hashes in key order for each group; groups are to be bounded (a file, a segment, a slot)."""
-    leaf = F.struct(F.col(key).alias("k"), C.account_hash(key, data).alias("h"))
-    return accounts.groupBy(by).agg(F.sha2(F.aggregate(F.array_sort(F.collect_list(leaf)), F.lit(bytearray(b"")).cast("binary"), lambda acc, x: F.concat(acc, x.h)), 256).alias("batch_sha256"))
+def _in_key_order(accounts: DataFrame, by: str, key: str, data: str) -> DataFrame:
+    """Group (as text) and (key, data) hash of each row; groups are whole in a task, their rows in key order."""
+    hashes = accounts.select(F.col(by).cast("string").alias("by"), F.col(key).alias("k"), C.account_hash(key, data).alias("h"))
+    return hashes.repartition("by").sortWithinPartitions("by", "k", "h").select("by", "h")
 
 
-def merkle_roots(accounts: DataFrame, by: str, key: str = "pubkey", data: str = "data") -> DataFrame:
-    """Merkle root over the (key, data) hashes of each group in key order; groups are to be bounded (a file, a segment, a slot)."""
-    leaves = accounts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), C.account_hash(key, data).alias("h")))).alias("leaves"))
-    return leaves.select(by, F.pandas_udf(_roots, "string")(F.transform("leaves", lambda x: F.hex(x.h))).alias("root"))
+def _fold(batches: Iterator[pa.RecordBatch], folder: type) -> Iterator[pa.RecordBatch]:
+    now, fold = object(), None
+    for batch in batches:
+        for by, h in zip(batch.column("by").to_pylist(), batch.column("h").to_pylist(), strict=True):
+            if fold is None or by != now:
+                if fold is not None:
+                    yield pa.record_batch({"by": pa.array([now], pa.string()), "hash": pa.array([fold.done()])})
+                now, fold = by, folder()
+            fold.add(h)
+    if fold is not None:
+        yield pa.record_batch({"by": pa.array([now], pa.string()), "hash": pa.array([fold.done()])})
+
+
+class _Joined:
+    """SHA-256 over hashes one after the other."""
+
+    def __init__(self):
+        self.state = hashlib.sha256()
 
+    def add(self, h: bytes) -> None:
+        self.state.update(h)
 
-def _roots(leaves: pd.Series) -> pd.Series:
-    return leaves.map(lambda hs: codecs.merkle_root([bytes.fromhex(h) for h in hs]).hex())
+    def done(self) -> str:
+        return self.state.hexdigest()
+
+
+class _Tree:
+    """Merkle root of hashes as they come: the roots of whole subtrees wait for a neighbour of their size."""
+
+    def __init__(self):
+        self.waiting: list[tuple[int, bytes]] = []
+
+    def add(self, h: bytes) -> None:
+        size = 1
+        while self.waiting and self.waiting[-1][0] == size:
+            h, size = codecs.node_hash(self.waiting.pop()[1], h), 2 * size
+        self.waiting.append((size, h))
+
+    def done(self) -> str:
+        top = self.waiting.pop()[1]
+        while self.waiting:
+            top = codecs.node_hash(self.waiting.pop()[1], top)
+        return top.hex()
+
+
+def ordered_hash(accounts: DataFrame, by: str, key: str = "pubkey", data: str = "data") -> DataFrame:
+    """One SHA-256 over (key, data) hashes in key order for each group.  Data is hashed before the shuffle; a group's hashes then
+    pass through one task, which the order asks for, and are not held there."""
+    return _in_key_order(accounts, by, key, data).mapInArrow(partial(_fold, folder=_Joined), "by string, hash string").select(F.col("by").alias(by), F.col("hash").alias("batch_sha256"))
+
+
+def merkle_roots(accounts: DataFrame, by: str, key: str = "pubkey", data: str = "data") -> DataFrame:
+    """Merkle root over the (key, data) hashes of each group in key order; a task holds a path of the tree, not the group."""
+    return _in_key_order(accounts, by, key, data).mapInArrow(partial(_fold, folder=_Tree), "by string, hash string").select(F.col("by").alias(by), F.col("hash").alias("root"))
 
 
 def largest_token_accounts(tokens: DataFrame, mint, n: int = 20) -> DataFrame:

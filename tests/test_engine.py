@@ -179,7 +179,7 @@ def test_compaction_keeps_later_rows(spark, tmp_path):
     base = spark.createDataFrame([(1, 10, 0, 5, "base"), (2, 10, 0, 6, "base")], "pubkey int, slot long, write_version long, lamports long, storage_type string")
     delta = spark.createDataFrame([(1, 20, 1, 7, "delta"), (3, 30, 2, 8, "delta")], base.schema)
     base.write.parquet(f"{tmp_path}/b")
-    ingest.with_slot_bucket(delta).write.partitionBy("slot_bucket").parquet(f"{tmp_path}/d")
+    ingest.with_layout(delta).write.partitionBy(*ingest.LAYOUT).parquet(f"{tmp_path}/d")
     assert ingest.compact_to(spark, f"{tmp_path}/b", f"{tmp_path}/d", f"{tmp_path}/b2", f"{tmp_path}/d2", 25, 1) == 1
     assert {(r.pubkey, r.lamports, r.storage_type) for r in spark.read.parquet(f"{tmp_path}/b2").collect()} == {(1, 7, "compacted"), (2, 6, "compacted")}
     assert [r.pubkey for r in spark.read.parquet(f"{tmp_path}/d2").collect()] == [3]
