@@ -3,7 +3,7 @@
 A text is cut where the pre-tokenizer's pattern always starts a new pre-token, whatever else the text holds:
 before a plain space that a non-space follows, and on both sides of a line feed between two non-spaces.  The
 ids of the pieces, joined, are then the ids of the text.  Pieces are told apart by a 64-bit hash, and
-their ids are remembered in a bounded cache of two generations.
+their ids are remembered in a cache of two generations that is bounded in bytes.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from acctframe.llm import _text
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces in each of the two generations of a worker's cache.
-CACHE_PIECES = 400_000
+#: Bytes of memory for each of the two generations of a worker's cache of pieces, and for its pre-tokens.
+CACHE_BYTES = 40 << 20
+#: Memory of an entry besides its ids; longer pieces are not remembered.
+ENTRY_BYTES, LONG_PIECE = 160, 1024
 #: The pre-tokenizer's pattern (a fixed value of the vocabulary file).
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:]*)\Z")
@@ -43,7 +45,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Encodes batches of texts; special tokens' strings are ordinary text."""
 
-    def __init__(self, path: str, most: int = CACHE_PIECES):
+    def __init__(self, path: str, most: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -54,6 +56,7 @@ class Encoder:
         self.young: dict[int, bytes] = {}
         self.old: dict[int, bytes] = {}
         self.pretokens: dict[str, bytes] = {}
+        self.held = self.pretokens_held = 0
 
     def whole(self, text: str) -> bytes:
         """ids of text as the library gives them, without pieces or caches."""
@@ -64,9 +67,11 @@ class Encoder:
         if ids is None:
             mapped = text.encode("utf-8").decode("latin-1").translate(self.letters)
             ids = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-            if len(self.pretokens) >= self.most:
-                self.pretokens.clear()
-            self.pretokens[text] = ids
+            if len(text) <= LONG_PIECE:
+                self.pretokens_held += 2 * ENTRY_BYTES + len(ids)
+                if self.pretokens_held > self.most:
+                    self.pretokens, self.pretokens_held = {}, 0
+                self.pretokens[text] = ids
         return ids
 
     def piece(self, raw: bytes) -> bytes:
@@ -86,9 +91,12 @@ class Encoder:
                     ids = old.get(keys[i])
                     if ids is None:
                         ids = self.piece(data[starts[i] : ends[i]].tobytes())
-                    found[i] = young[keys[i]] = ids
-            if len(young) >= self.most:
-                self.young, self.old = {}, young
+                    found[i] = ids
+                    if len(ids) <= LONG_PIECE:
+                        young[keys[i]] = ids
+                        self.held += ENTRY_BYTES + len(ids)
+            if self.held > self.most:
+                self.young, self.old, self.held = {}, young, 0
         return found
 
     def _ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:

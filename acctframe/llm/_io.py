@@ -1,49 +1,17 @@
-"""Shared folder, table reading and hand-over of intermediate tables."""
+"""Table reading and hand-over of intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from acctframe.shared import drop_stored, fresh, new_path, stored
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the cluster names one.
-
-    Only a session without that setting (tests, single-machine runs) gets a local folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = f"file://{tempfile.gettempdir()}/acctframe-shared"
-    return named.rstrip("/")
+__all__ = ["drop_stored", "fresh", "new_path", "release", "size_of", "stored", "table", "text_bytes"]
 
 
-def new_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/acctframe/{kind}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, kind: str) -> DataFrame:
-    """Writes df once to the shared folder and returns a reader of it: later jobs neither recompute it nor depend on executors."""
-    spark = df.sparkSession
-    path = new_path(spark, kind)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Deletes the files of a stored() table once nothing will read it again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}  # names only; at most one folder
-    for root in roots:
-        if "/acctframe/" in root:
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def release(spark: SparkSession) -> None:
@@ -54,8 +22,9 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def parts_for(spark: SparkSession, path_bytes: int, target: int, least: int = 1) -> int:
-    return max(least, -(-path_bytes // target))
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts (column text)."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
 
 
 def size_of(df: DataFrame) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,23 +49,39 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, their bytes, offsets) with at most `most` bytes each, or one longer row; null texts count as empty."""
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        col = batch.column(batch.schema.get_field_index(column))
-        if isinstance(col, pa.ChunkedArray):
-            col = col.combine_chunks()
-        col = pc.fill_null(col.cast(pa.large_string()), "")
-        offs = np.frombuffer(col.buffers()[1], dtype=np.int64, count=len(col) + 1 + col.offset)[col.offset :]
-        raw = col.buffers()[2]
-        data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
-        i = 0
-        while i < len(col):
-            j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
-            j = min(j, len(col))
-            yield batch.slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-            i = j
+    """(rows, their bytes, offsets) with at most `most` bytes each, or one longer row; null texts count as empty.
+
+    Workers are used again by later tasks, so what a task has freed goes back to the system at its end."""
+    try:
+        for batch in batches:
+            if batch.num_rows:
+                yield from _slices(batch, column, most)
+    finally:
+        release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    col = batch.column(batch.schema.get_field_index(column))
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    col = pc.fill_null(col.cast(pa.large_string()), "")
+    offs = np.frombuffer(col.buffers()[1], dtype=np.int64, count=len(col) + 1 + col.offset)[col.offset :]
+    raw = col.buffers()[2]
+    data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    i = 0
+    while i < len(col):
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
+        j = min(j, len(col))
+        yield batch.slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+        i = j
 
 
 def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -272,7 +272,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def components(edges: DataFrame) -> DataFrame:
     """node and label (the least node joined with it) for edges (a, b), by minimum labels and pointer jumping."""
     both = _io.stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = _io.stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    kept = labels = _io.stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
         near = labels.join(seen, labels.node == seen.a).select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
@@ -281,8 +281,8 @@ def components(edges: DataFrame) -> DataFrame:
         new = _io.stored(near.join(up, near.label == up.up, "left").select("node", F.least("label", "far").alias("label"), "was"), "labels")
         done = new.where("label <> was").isEmpty()
         _io.drop_stored(near)
-        _io.drop_stored(labels)
-        labels = new.select("node", "label")
+        _io.drop_stored(kept)
+        kept, labels = new, new.select("node", "label")
         if done:
             return labels
 
@@ -308,12 +308,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class the document with the least doc_id, with all columns; of rows that repeat it, one."""
     found = _io.stored(classes(docs), "classes")
+    x_id, x_th, many = (_io.fresh(docs, n) for n in ("__x_id", "__x_th", "__many"))
     key = docs.doc_id.cast("long"), F.xxhash64(docs.text.cast("string"))
-    same = lambda x: key[0].eqNullSafe(x["__x_id"]) & key[1].eqNullSafe(x["__x_th"])
-    named = found.select(F.col("doc_id").alias("__x_id"), F.col("th").alias("__x_th"), "class_id")
-    extra = named.where(~F.col("__x_id").eqNullSafe(F.col("class_id"))).select("__x_id", "__x_th").distinct()
-    again = named.where(F.col("__x_id").eqNullSafe(F.col("class_id"))).groupBy("__x_id", "__x_th").count().where("count > 1")
+    same = lambda x: key[0].eqNullSafe(x[x_id]) & key[1].eqNullSafe(x[x_th])
+    named = found.select(F.col("doc_id").alias(x_id), F.col("th").alias(x_th), "class_id")
+    extra = named.where(~F.col(x_id).eqNullSafe(F.col("class_id"))).select(x_id, x_th).distinct()
+    again = named.where(F.col(x_id).eqNullSafe(F.col("class_id"))).groupBy(x_id, x_th).agg(F.count("*").alias(many)).where(F.col(many) > 1)
     if again.isEmpty():
         return docs.join(extra, same(extra), "left_anti")
-    gone = extra.unionByName(again.select("__x_id", "__x_th"))
+    gone = extra.unionByName(again.select(x_id, x_th))
     return docs.join(gone, same(gone), "left_anti").unionByName(docs.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -6,11 +6,12 @@ all words of a shorter one.  Any 13 consecutive words of an item hold one of its
 the automaton holds only those blocks (one state a character of the items, not thirteen) and each hit is
 extended word by word to the longest run that item and document share; a run of at least a window marks its words.
 
-The items are broadcast in blocks of at most BLOCK_BYTES of text; a larger benchmark takes one pass a block.
+Items are cut into parts of PART words that overlap by a window less one word, so that every window lies in a part, and equal
+parts of an item count once.  Parts are broadcast in blocks of about BLOCK_BYTES; a larger benchmark takes one pass a block.
 
 Defined cases: a null or empty text has no words and is clean; benchmark rows without item_id or without words have no
 window; equal items all count; repeated rows and null doc_ids are judged like others; an empty benchmark makes all
-documents clean; an empty table gives no row; other columns are not read, whatever their names.
+documents clean; an empty table gives no row; other columns are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from acctframe.llm import _io, _text
 
-#: Beside a caller's own columns the findings go by this name.
+#: Beside a caller's own columns the findings go by this name, or one that is free.
 COLUMN = "__decontamination"
 WINDOW, ALIGNED = 13, 7
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES, PART = 2 << 20, 4096
 SEP = np.ones(256, dtype=bool)
 SEP[0x30:0x3A] = SEP[0x61:0x7B] = SEP[0x41:0x5B] = SEP[0x80:] = False
 NORMAL = bytes(32 if SEP[b] else int(_text.LOWER[b]) for b in range(256))
@@ -123,10 +124,22 @@ FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", p
 SO_FAR = pa.struct([("runs", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
 
-def _scan(batches: Iterator[pa.RecordBatch], items, last: bool) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each item, in overlapping parts."""
+    for rows, data, offs in _text.text_slices(batches):
+        raw, ids, out = data.tobytes(), [], []
+        for i, k in enumerate(rows.column("item_id").to_pylist()):
+            words = normal_words(raw[offs[i] : offs[i + 1]])
+            for a in range(0, max(len(words) - WINDOW + 1, min(len(words), 1)), PART):
+                ids.append(k)
+                out.append(b" ".join(words[a : a + PART + WINDOW - 1]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], names=["item_id", "words"])
+
+
+def _scan(batches: Iterator[pa.RecordBatch], items, column: str, more: bool, last: bool) -> Iterator[pa.RecordBatch]:
     match = _matcher(items)
     for rows, data, offs in _text.text_slices(batches):
-        raw, before = data.tobytes(), rows.column(COLUMN).to_pylist() if COLUMN in rows.schema.names else None
+        raw, before = data.tobytes(), rows.column(column).to_pylist() if more else None
         found = []
         for i in range(rows.num_rows):
             words = normal_words(raw[offs[i] : offs[i + 1]])
@@ -141,8 +154,8 @@ def _scan(batches: Iterator[pa.RecordBatch], items, last: bool) -> Iterator[pa.R
                 found.append({"n_words": len(words), "n_hit": hit, "n_items": len(ids), "items_sha256": hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), "contaminated": hit > 0 and 20 * hit >= len(words), "spans": spans})
             else:
                 found.append({"runs": [x for r in runs for x in r], "items": sorted(ids)})
-        names = [n for n in rows.schema.names if n != COLUMN]
-        yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in names), pa.array(found, FOUND if last else SO_FAR)], names=[*names, COLUMN])
+        own = rows.num_columns - more
+        yield pa.RecordBatch.from_arrays([*rows.columns[:own], pa.array(found, FOUND if last else SO_FAR)], names=[*rows.schema.names[:own], column])
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -162,17 +175,18 @@ def original_spans(data: np.ndarray, runs: list[tuple[int, int]]) -> list[dict]:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with a struct column COLUMN: n_words, n_hit, n_items, items_sha256, contaminated and spans (byte ranges of hit words)."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    """docs with one more column, a struct: n_words, n_hit, n_items, items_sha256, contaminated and spans (byte ranges of hit words)."""
+    spark, column = docs.sparkSession, _io.fresh(docs, COLUMN)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    items = items.mapInArrow(_parts, "item_id long, words string").distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
-    now, columns = docs, docs.schema
+    now, fields = docs, docs.schema.fields
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # about BLOCK_BYTES
+        rows = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == k).collect()  # about BLOCK_BYTES, in parts of bounded length
         block, last = _Block(spark.sparkContext.broadcast([tuple(r) for r in rows])), k == blocks - 1
         kind = "struct<n_words:long,n_hit:long,n_items:long,items_sha256:string,contaminated:boolean,spans:array<struct<start:long,end:long>>>" if last else "struct<runs:array<long>,items:array<string>>"
-        now = now.mapInArrow(partial(_scan, items=block, last=last), StructType([*columns.fields, StructField(COLUMN, _parse_datatype_string(kind))]))
+        now = now.mapInArrow(partial(_scan, items=block, column=column, more=k > 0, last=last), StructType([*fields, StructField(column, _parse_datatype_string(kind))]))
         if not last:
             now = _io.stored(now, "decontam")
     return now
@@ -185,7 +199,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that are not contaminated, with their columns."""
-    return scan(docs, _io.table(spark, sf_dir, "benchmark")).where(~F.col(f"{COLUMN}.contaminated")).drop(COLUMN)
+    column = _io.fresh(docs, COLUMN)
+    return scan(docs, _io.table(spark, sf_dir, "benchmark")).where(~F.col(f"{column}.contaminated")).drop(column)
 
 
 #: The query in SQL: all windows and all word runs of their lengths, joined by their text.

@@ -1,8 +1,10 @@
 """Packing along a Hilbert curve: neighbouring documents share sequences.
 
 Every document becomes a hashed bag of words, projected with random signs to four numbers, which the normal
-distribution function spreads evenly over a grid; the grid cell's place on the Hilbert curve is the sort key.  Rows are
-range-partitioned by (key, doc_id), so equal keys (copies) can part over several tasks, and each task cuts its
+distribution function spreads evenly over a grid; the grid cell's place on the Hilbert curve is the sort key, with a
+hash of doc_id, text and place in the input behind it, so equal keys (copies) can part over several tasks.  Projected rows
+are stored once.  Ranges of the curve are cut where a sample of them, drawn by their bytes, has equal shares of
+all bytes, so a task's work does not depend on how long its documents are.  Each task cuts its
 stream of ids into full sequences.  What is left at the end of a task, less than one sequence, is joined with the rests of
 the next tasks on the curve, 1024 tasks at a time, so at most one sequence per 1024 tasks is padded.
 
@@ -18,6 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +28,12 @@ from acctframe.llm import _bpe, _io, _text
 
 SEQUENCE = 2048
 DIMENSIONS, BITS = 4, 15
-#: Input bytes (as stored) for one task, and tasks whose rests are packed together.
-TASK_BYTES, TASKS_TOGETHER = 16 << 20, 1024
-SLICE = 1 << 22
+#: Bytes of text for one task, tasks at most, and tasks whose rests are packed together.
+TASK_BYTES, MOST_TASKS, TASKS_TOGETHER = 16 << 20, 1 << 15, 1024
+#: Bytes that a row counts besides its text, and sampled rows a task: the driver sees SAMPLED * MOST_TASKS of them at most.
+ROW_BYTES, SAMPLED = 64, 24
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 21
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, seq long, offset long, rest binary"
 
 
@@ -53,8 +59,12 @@ def hilbert_key(grid: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+#: Words from which on a longer text is projected no farther from the middle.
+ENOUGH = 256
+
+
 def project(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Grid point of each text: signed sums over its hashed words, scaled by their number and spread evenly."""
+    """Grid point of each text: mean signs of its hashed words, scaled by their number (ENOUGH at most) and spread evenly."""
     docs = len(offs) - 1
     starts, ends, doc = _text.words(data, offs)
     h = _text.word_hashes(_text.LOWER[data], starts, ends)
@@ -62,14 +72,49 @@ def project(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     out = np.empty((docs, DIMENSIONS), np.int64)
     for d in range(DIMENSIONS):
         sign = ((h >> np.uint64(11 * d + 5)) & np.uint64(1)).astype(np.float64) * 2 - 1
-        z = np.bincount(doc, weights=sign, minlength=docs) / np.sqrt(n)
+        z = np.bincount(doc, weights=sign, minlength=docs) / n * np.sqrt(np.minimum(n, ENOUGH))
         out[:, d] = np.clip((1 / (1 + np.exp(-1.702 * z / 2))) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
     return out
 
 
+KEYED = "doc_id long, text string, curve long, tie long, size long"
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    row = TaskContext.get().partitionId() << 40
     for rows, data, offs in _text.text_slices(batches):
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text"), pa.array(hilbert_key(project(data, offs), BITS))], names=["doc_id", "text", "curve"])
+        # 43 bits of doc_id and text, then 20 of the row's place, which only tells equal rows apart
+        what = rows.column("th").to_numpy(zero_copy_only=False).view(np.uint64) ^ _text.mix64(pc.fill_null(rows.column("doc_id"), -1).to_numpy(zero_copy_only=False).view(np.uint64))
+        place = _text.mix64(np.arange(row, row + rows.num_rows, dtype=np.uint64))
+        tie = (_text.mix64(what) >> np.uint64(21) << np.uint64(20)) | (place >> np.uint64(44))
+        row += rows.num_rows
+        made = (hilbert_key(project(data, offs), BITS), _text.to_i64(tie), np.diff(offs) + ROW_BYTES)
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text"), *map(pa.array, made)], names=["doc_id", "text", "curve", "tie", "size"])
+
+
+def _together(curve: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Both keys as 16 bytes that compare as they do."""
+    return np.ascontiguousarray(np.stack((curve, tie), 1).astype(">u8")).view("S16").ravel()
+
+
+def cuts(keyed: DataFrame, total: int, tasks: int) -> np.ndarray:
+    """The first keys of all ranges but the first."""
+    share = max(1, total // (tasks * SAMPLED))
+    spin = F.pmod(F.xxhash64("curve", "tie"), F.lit(1 << 30)) / float(1 << 30)
+    seen = keyed.where(spin * share < F.col("size")).select("curve", "tie", F.greatest("size", F.lit(share)).alias("size")).toArrow()
+    key, size = _together(seen.column("curve").to_numpy(), seen.column("tie").to_numpy()), seen.column("size").to_numpy()
+    order = np.argsort(key)
+    at = np.cumsum(size[order])
+    return np.unique(key[order][np.searchsorted(at, at[-1] * np.arange(1, tasks) / tasks)]) if len(at) else key
+
+
+def _deal(batches: Iterator[pa.RecordBatch], bounds) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key = _together(batch.column("curve").to_numpy(zero_copy_only=False), batch.column("tie").to_numpy(zero_copy_only=False))
+        part = np.searchsorted(bounds.value, key, "right").astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], names=[*batch.schema.names, "part"])
 
 
 class Packer:
@@ -125,10 +170,15 @@ def _pack_rests(key, rests):
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    tasks = max(1, -(-_io.size_of(docs) // TASK_BYTES))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_keys, "doc_id long, text string, curve long")
-    ordered = keyed.repartitionByRange(tasks, "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "text")
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    keyed = _io.stored(rows.mapInArrow(_keys, KEYED), "curve")
+    total = keyed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    bounds = cuts(keyed, total, min(MOST_TASKS, max(1, -(-total // TASK_BYTES))))
+    dealt = keyed.select("doc_id", "text", "curve", "tie").mapInArrow(partial(_deal, bounds=spark.sparkContext.broadcast(bounds)), "doc_id long, text string, curve long, tie long, part int")
+    ordered = dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("curve", "tie").select("doc_id", "text")
     made = _io.stored(ordered.mapInArrow(partial(_pack, path=vocabulary, end_id=end_id), PIECES), "packed")
+    _io.drop_stored(keyed)
     rests = made.where("rest is not null").withColumn("group", F.col("part") / F.lit(TASKS_TOGETHER)).withColumn("group", F.floor("group"))
     rests = rests.groupBy("group").applyInPandas(_pack_rests, PIECES)
     return made.where("rest is null").unionByName(rests).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.shiftleft("part", 32) + F.col("seq")).alias("sequence_id"), "offset")

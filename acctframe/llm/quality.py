@@ -5,12 +5,12 @@ whether the word repeats the one before).  Spellings give 1- and 2-grams, shapes
 one of 2**BITS places, and a text is the sparse vector of its n-grams' shares of its words.  A score is the logistic
 function of a sparse dot product.
 
-The model is fitted on TRAIN_ROWS labelled rows at most (those with the smallest hash of doc_id), a documented bound; scoring
-reads whole texts of all rows.
+The model is fitted on TRAIN_ROWS labelled documents and TRAIN_BYTES of their text at most (in the order of the hash of doc_id), documented
+bounds; scoring reads whole texts of all rows.
 
-Defined cases: a null or empty text has the score of the bias alone; labels without a quality or without a document are
-left out, repeated labels count once (the largest); without any label every score is 0.5; null doc_ids and repeated rows
-are scored like others; an empty table gives no row; other columns are not read, whatever their names.
+Defined cases: a null or empty text has the score of the bias alone; labels whose quality is not 0 or 1 or without a document are
+left out, repeated labels count once (the largest), and so does a labelled doc_id with several rows (the text of least hash); without any label every score is 0.5; null doc_ids and repeated rows
+are scored like others; an empty table gives no row; other columns are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from acctframe.llm import _io, _text
 
-BITS, TRAIN_ROWS, EPOCHS = 18, 6_000, 2
+BITS, TRAIN_ROWS, TRAIN_BYTES, EPOCHS = 18, 6_000, 128 << 20, 2
 #: FTRL-proximal: learning rate, its smoothing, and the L1 and L2 weights.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 #: Weight of an n-gram stream's shares: spellings by length, shapes by length.
@@ -119,7 +119,12 @@ def train(texts: list[str | None], labels: list[int]) -> np.ndarray:
 
 
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [r for b in batches for r in zip(b.column("text").to_pylist(), b.column("quality").to_pylist(), strict=True)]
+    rows, held = [], 0
+    for b in batches:
+        for text, quality in zip(b.column("text").to_pylist(), b.column("quality").to_pylist(), strict=True):
+            held += len(text or "")
+            if held <= TRAIN_BYTES or not rows:
+                rows.append((text, quality))
     if rows:
         w = train([r[0] for r in rows], [r[1] for r in rows]).astype("<f4")
         yield pa.record_batch({"weights": pa.array([w.tobytes()], pa.binary())})
@@ -133,9 +138,10 @@ def in_fold(doc_id, fold: int = 1):
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Weights learnt from the labelled rows outside the held-out fold."""
     order = F.xxhash64("doc_id")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     known = known.where(~in_fold(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(order, "doc_id").limit(TRAIN_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")  # at most TRAIN_ROWS ids
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text"))
     model = rows.repartition(1).sortWithinPartitions(order, "doc_id", "text").select("text", "quality").mapInArrow(_train, "weights binary").collect()
     return np.frombuffer(model[0][0], "<f4") if model else np.zeros((1 << BITS) + 1, "<f4")
 
@@ -148,14 +154,14 @@ def scores(data: np.ndarray, offs: np.ndarray, weights: np.ndarray) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + weights[-1], -35, 35)))
 
 
-#: Beside a caller's own columns the score goes by this name.
+#: Beside a caller's own columns the score goes by this name, or one that is free.
 SCORE = "__quality_score"
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, name: str = "score") -> Iterator[pa.RecordBatch]:
     weights = np.frombuffer(model.value, "<f4")
     for rows, data, offs in _text.text_slices(batches):
-        yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in rows.schema.names), pa.array(scores(data, offs, weights))], names=[*rows.schema.names, name])
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(scores(data, offs, weights))], names=[*rows.schema.names, name])
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -175,5 +181,6 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents scored 0.5 or more, with all their columns."""
     weights = fit(docs, _io.table(spark, sf_dir, "labels"))
     model = spark.sparkContext.broadcast(weights.tobytes())
-    schema = StructType([*docs.schema.fields, StructField(SCORE, DoubleType())])
-    return docs.mapInArrow(partial(_score, model=model, name=SCORE), schema).where(F.col(SCORE) >= 0.5).drop(SCORE)
+    column = _io.fresh(docs, SCORE)
+    schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
+    return docs.mapInArrow(partial(_score, model=model, name=column), schema).where(F.col(column) >= 0.5).drop(column)

@@ -13,7 +13,7 @@ A byte goes if a string of LENGTH bytes that covers it also starts anywhere else
 
 Defined cases: a null or empty text, or one under LENGTH bytes, loses nothing; repeated rows are copies of each other, and
 both go; rows are told apart by doc_id (null included) and content; an empty table gives no row; other columns
-are not read, whatever their names.  Texts are processed whole.
+are not read, and may have any name.  Texts are processed whole.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from acctframe.llm import _io, _text
 
 LENGTH, K = 400, 32
-#: Beside a caller's own columns the byte ranges go by this name.
+#: Beside a caller's own columns the byte ranges go by this name, or one that is free.
 RANGES = "__repeated_ranges"
 SHARD_KINDS = 2048
 U64 = np.uint64
@@ -358,7 +358,7 @@ def _kept(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offs in _text.text_slices(batches):
         raw, out = data.tobytes(), []
-        for i, ranges in enumerate(rows.column(RANGES).to_pylist()):
+        for i, ranges in enumerate(rows.column(rows.num_columns - 1).to_pylist()):
             gone = merged_ranges(ranges or [])
             out.append((int(offs[i + 1] - offs[i]), sum(b - a for a, b in gone), len(gone), hashlib.sha256(_kept(raw[offs[i] : offs[i + 1]], gone)).hexdigest()))
         cols = list(zip(*out, strict=True))
@@ -370,21 +370,22 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = data.tobytes()
         texts: list[str | None] = []
         null = rows.column("text").is_null().to_pylist()
-        for i, ranges in enumerate(rows.column(RANGES).to_pylist()):
+        for i, ranges in enumerate(rows.column(rows.num_columns - 1).to_pylist()):
             if null[i]:
                 texts.append(None)
                 continue
             body = raw[offs[i] : offs[i + 1]]
             texts.append(_kept(body, merged_ranges(ranges)).decode("utf-8", "ignore") if ranges else body.decode("utf-8"))
-        names = [n for n in rows.schema.names if n != RANGES]
+        names = rows.schema.names[:-1]
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else rows.column(n) for n in names], names=names)
 
 
 def with_ranges(docs: DataFrame) -> DataFrame:
-    """docs with a column RANGES of the byte ranges that go (null if none)."""
-    ranges = repeated_ranges(docs).select(F.col("doc_id").alias("__r_id"), F.col("th").alias("__r_th"), F.col("ranges").alias(RANGES))
-    mine = docs.doc_id.cast("long").eqNullSafe(ranges["__r_id"]) & (F.xxhash64(docs.text.cast("string")) == ranges["__r_th"])
-    return docs.join(ranges, mine, "left").drop("__r_id", "__r_th")
+    """docs with one more column, the byte ranges that go (null if none)."""
+    name, r_id, r_th = (_io.fresh(docs, n) for n in (RANGES, "__r_id", "__r_th"))
+    ranges = repeated_ranges(docs).select(F.col("doc_id").alias(r_id), F.col("th").alias(r_th), F.col("ranges").alias(name))
+    mine = docs.doc_id.cast("long").eqNullSafe(ranges[r_id]) & (F.xxhash64(docs.text.cast("string")) == ranges[r_th])
+    return docs.join(ranges, mine, "left").drop(r_id, r_th)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

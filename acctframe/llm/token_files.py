@@ -10,7 +10,7 @@ sink (the closing 0x0A is its line end), so any file system that Spark knows wil
 is never seen.  The index is a Parquet table: shard, offset, length, doc_id, n_tokens, local_start, ids_crc32.
 
 Defined cases: a null text is an empty text and gives just the end id; a null doc_id is kept, as null, and comes first;
-rows that share a doc_id each get a record, ordered by text; an empty table gives no shard and an empty index; other
+rows that share a doc_id each get a record, ordered by the hash of their text; an empty table gives no shard and an empty index; other
 columns are not read, whatever their names.  Texts of any length are encoded whole.
 """
 
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from acctframe.llm import _bpe, _io, _text
 
 MASK_DELTA = 0xA282EAD8
-#: Input bytes (as stored) for one shard.
-SHARD_BYTES = 16 << 20
+#: Bytes of text for one shard, and shards at most.
+SHARD_BYTES, MOST_SHARDS = 24 << 20, 1 << 15
 #: Bytes of text that are encoded at once.
-SLICE = 1 << 22
+SLICE = 1 << 21
 HEAD = struct.Struct("<BqI")
 
 
@@ -82,9 +82,13 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
 
 
 def write_token_files(docs: DataFrame, out: str, vocabulary: str, end_id: int = 0, shard_bytes: int = SHARD_BYTES) -> None:
-    """Encodes docs (doc_id, text) and writes the shards to the folder `out`, in ascending doc_id order over all shards."""
-    shards = max(1, -(-_io.size_of(docs) // shard_bytes))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    """Encodes docs (doc_id, text) and writes the shards to the folder `out`, in ascending doc_id order over all shards.
+
+    The text's hash and the row's place stand behind doc_id in the order, so rows that share a doc_id can part over several shards."""
+    shards = min(MOST_SHARDS, max(1, -(-_io.text_bytes(docs) // shard_bytes)))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "row"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     records = ordered.mapInArrow(partial(_encode, path=vocabulary, end_id=end_id), "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(out)
 
