@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acctframe import cache, views
+from acctframe import cache, shared, views
 from acctframe.functions import codecs
 from acctframe.functions import columns as C
 from acctframe.operators import predicates as P
@@ -37,11 +37,18 @@ def query(sql: str | None, *names: str):
     return register
 
 
+def _whole() -> None:
+    """The other modules of the catalog register their queries as they are imported."""
+    from acctframe import catalog_engine, catalog_sources  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _whole()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _whole()
     return dict(_SQL)
 
 
@@ -109,33 +116,18 @@ def accelerated_memcmp(spark, d):
 # sorting and pages
 
 
-@query("SELECT pubkey, lamports FROM blob_parts ORDER BY lamports, pubkey LIMIT 100", "blob_parts")
-def sort_lamports(spark, d):
-    return paging.sort_accounts(blob_parts(spark, d), "lamports").limit(100).select("pubkey", "lamports")
-
-
-@query("SELECT pubkey, data_len FROM blob_docs ORDER BY data_len, pubkey LIMIT 100", "blob_docs")
-def sort_data_size(spark, d):
-    return paging.sort_accounts(blob_docs(spark, d), "data_size").limit(100).select("pubkey", "data_len")
-
-
-@query("SELECT pubkey, slot FROM blob_parts ORDER BY slot DESC, pubkey LIMIT 100", "blob_parts")
-def sort_slot_desc(spark, d):
-    return paging.sort_accounts(blob_parts(spark, d), "slot_desc").limit(100).select("pubkey", "slot")
-
-
 @query("SELECT pubkey, lamports FROM blob_parts ORDER BY lamports, pubkey", "blob_parts")
-def sort_lamports_all(spark, d):
+def sort_lamports(spark, d):
     return paging.sort_accounts(blob_parts(spark, d), "lamports").select("pubkey", "lamports")
 
 
 @query("SELECT pubkey, data_len FROM blob_docs ORDER BY data_len, pubkey", "blob_docs")
-def sort_data_size_all(spark, d):
+def sort_data_size(spark, d):
     return paging.sort_accounts(blob_docs(spark, d), "data_size").select("pubkey", "data_len")
 
 
 @query("SELECT pubkey, slot FROM blob_parts ORDER BY slot DESC, pubkey", "blob_parts")
-def sort_slot_desc_all(spark, d):
+def sort_slot_desc(spark, d):
     return paging.sort_accounts(blob_parts(spark, d), "slot_desc").select("pubkey", "slot")
 
 
@@ -203,14 +195,24 @@ def numeric_lookup(spark, d):
 # tokens
 
 
-@query("SELECT pubkey, line, mint, amount FROM tok_lineitem WHERE token_owner = 3", "tok_lineitem")
+@query("SELECT pubkey, line, mint, CAST(amount AS DECIMAL(20,0)) AS amount FROM tok_lineitem WHERE token_owner = 3", "tok_lineitem")
 def tokens_by_owner(spark, d):
-    return tok_lineitem(spark, d).where("token_owner = 3").select("pubkey", "line", "mint", "amount")
+    t = views.tok_data(spark, d)
+    mine = t.where(P.TokenField("token_owner", b"%032d" % 3, "token").column(set(t.columns)))
+    return mine.select("pubkey", "line", views.key_number(C.token_columns()["mint"]).alias("mint"), C.token_columns()["amount"].alias("amount"))
 
 
-@query("SELECT pubkey, line, token_owner, amount FROM tok_lineitem WHERE mint = 7", "tok_lineitem")
+@query("SELECT pubkey, line, token_owner, CAST(amount AS DECIMAL(20,0)) AS amount FROM tok_lineitem WHERE mint = 7", "tok_lineitem")
 def tokens_by_mint(spark, d):
-    return tok_lineitem(spark, d).where("mint = 7").select("pubkey", "line", "token_owner", "amount")
+    t = views.tok_data(spark, d)
+    mine = t.where(P.TokenField("mint", b"%032d" % 7, "token").column(set(t.columns)))
+    return mine.select("pubkey", "line", views.key_number(C.token_columns()["token_owner"]).alias("token_owner"), C.token_columns()["amount"].alias("amount"))
+
+
+@query("SELECT pubkey, line, mint, token_owner, CAST(amount AS DECIMAL(20,0)) AS amount FROM tok_lineitem", "tok_lineitem")
+def token_fields(spark, d):
+    f = C.token_columns()
+    return views.tok_data(spark, d).select("pubkey", "line", views.key_number(f["mint"]).alias("mint"), views.key_number(f["token_owner"]).alias("token_owner"), f["amount"].alias("amount"))
 
 
 @query("SELECT token_owner AS pubkey, mint, amount FROM (SELECT token_owner, mint, CAST(sum(amount) AS DOUBLE) AS amount FROM tok_lineitem GROUP BY ALL) WHERE mint = 7 ORDER BY amount DESC, token_owner LIMIT 20", "tok_lineitem")
@@ -304,7 +306,7 @@ def tombstones(spark, d):
 
 @query("SELECT pubkey, owner, slot, write_version, lamports, CAST(strlen(decode(data)) AS BIGINT) AS data_len FROM upd_events", "upd_events")
 def metadata_projection(spark, d):
-    return upd_events(spark, d).select("pubkey", "owner", "slot", "write_version", "lamports", C.data_size().alias("data_len"))
+    return P.metadata(upd_events(spark, d)).select("pubkey", "owner", "slot", "write_version", "lamports", "data_len")
 
 
 # statistics
@@ -355,10 +357,11 @@ def tier_rollup(spark, d):
     return out.withColumn("hot_percent", F.round(F.col("hot_percent").cast("double"), 6))
 
 
-@query("SELECT slot // 10 AS segment, CAST(count(*) AS BIGINT) AS entry_count, CAST(sum(octet_length(data)) AS BIGINT) AS data_size, min(slot) AS start_slot, max(slot) AS end_slot FROM upd_events GROUP BY 1", "upd_events")
+@query("SELECT slot // 10 AS segment, CAST(count(*) AS BIGINT) AS entry_count, CAST(sum(octet_length(data) + 64) AS BIGINT) AS data_size, min(slot) AS start_slot, max(slot) AS end_slot FROM upd_events GROUP BY 1", "upd_events")
 def segment_stats(spark, d):
-    u = upd_events(spark, d).withColumn("segment", F.floor(F.col("slot") / 10))
-    return u.groupBy("segment").agg(F.count("*").alias("entry_count"), F.sum(F.octet_length("data")).cast("long").alias("data_size"), F.min("slot").alias("start_slot"), F.max("slot").alias("end_slot"))
+    from acctframe.sources import segments
+
+    return segments.catalog(upd_events(spark, d).withColumn("segment", F.floor(F.col("slot") / 10)))
 
 
 @query('SELECT owner, "offset", CAST(count(DISTINCT bytes) AS BIGINT) AS unique_keys, CAST(count(*) AS BIGINT) AS entries, round(count(*) * 1.0 / count(DISTINCT bytes), 6) AS mean_entries FROM (SELECT owner, CAST(0 AS BIGINT) AS "offset", data[1:8] AS bytes FROM blob_parts WHERE data_len >= 8 UNION ALL SELECT owner, 1, data[2:5] FROM blob_parts WHERE data_len >= 5) GROUP BY ROLLUP (owner, "offset")', "blob_parts")
@@ -373,19 +376,20 @@ def cache_hit_rate(spark, d):
     return out.withColumn("hit_rate", F.round(F.col("hit_rate").cast("double"), 9))
 
 
-@query("SELECT CAST(sum(l_linenumber) // count(*) AS BIGINT) AS mean_time FROM lineitem")
+@query("SELECT CAST(sum(l_linenumber) // count(*) AS BIGINT) AS mean_time, quantile_disc(l_linenumber, 0.5) AS p50, quantile_disc(l_linenumber, 0.99) AS p99 FROM lineitem")
 def mean_plan_time(spark, d):
-    return stats.mean_time(views.table(spark, d, "lineitem"), "l_linenumber").select(F.col("mean_time").cast("long").alias("mean_time"))
+    out = stats.mean_time(views.table(spark, d, "lineitem"), "l_linenumber")
+    return out.select(F.col("mean_time").cast("long").alias("mean_time"), F.col("p50_p99")[0].alias("p50"), F.col("p50_p99")[1].alias("p99"))
 
 
-# sets: suppliers of two parts' line items
+# sets: orders with a small and with a large line item
 
-A, B = "SELECT DISTINCT token_owner AS id FROM tok_lineitem WHERE mint < 20", "SELECT DISTINCT token_owner AS id FROM tok_lineitem WHERE mint BETWEEN 10 AND 40"
+A, B = "SELECT DISTINCT pubkey AS id FROM tok_lineitem WHERE amount < 10", "SELECT DISTINCT pubkey AS id FROM tok_lineitem WHERE amount > 40"
 
 
 def _sides(spark, d):
     t = tok_lineitem(spark, d)
-    return t.where("mint < 20").select(F.col("token_owner").alias("id")), t.where("mint between 10 and 40").select(F.col("token_owner").alias("id"))
+    return t.where("amount < 10").select(F.col("pubkey").alias("id")), t.where("amount > 40").select(F.col("pubkey").alias("id"))
 
 
 @query(f"{A} INTERSECT {B}", "tok_lineitem")
@@ -439,10 +443,10 @@ def bitmap_union_ids(spark, d):
     return sets.bitmap_ids(sets.bitmap_or(posts, [3, 4], "mint")).select((F.col("id") - 1).alias("token_owner"))
 
 
-@query(f"({A} UNION {B}) EXCEPT SELECT token_owner FROM tok_lineitem WHERE mint = 12", "tok_lineitem")
+@query(f"({A} UNION {B}) EXCEPT SELECT pubkey FROM tok_lineitem WHERE amount = 25", "tok_lineitem")
 def lsm_view(spark, d):
     a, b = _sides(spark, d)
-    gone = tok_lineitem(spark, d).where("mint = 12").select(F.col("token_owner").alias("id"))
+    gone = tok_lineitem(spark, d).where("amount = 25").select(F.col("pubkey").alias("id"))
     return sets.with_deltas(a, [b], gone)
 
 
@@ -527,27 +531,18 @@ def invalidation_affected(spark, d):
     return cache.affected_queries(deps_conv(spark, d), changes)
 
 
-@query("SELECT owner, sha256(unhex(string_agg(sha256(encode(CAST(pubkey AS VARCHAR)) || data), '' ORDER BY pubkey))) AS batch_sha256 FROM blob_parts GROUP BY 1", "blob_parts")
+@query("SELECT owner, sha256(unhex(string_agg(sha256(encode(lpad(CAST(pubkey AS VARCHAR), 12, '0')) || data), '' ORDER BY pubkey))) AS batch_sha256 FROM blob_parts GROUP BY 1", "blob_parts")
 def batch_checksum(spark, d):
-    a = blob_parts(spark, d).withColumn("key", F.col("pubkey").cast("string").cast("binary")).withColumn("pubkey2", F.col("pubkey"))
-    leaf = F.struct(F.col("pubkey2").alias("k"), C.account_hash("key", "data").alias("h"))
-    joined = F.aggregate(F.array_sort(F.collect_list(leaf)), F.unhex(F.lit("")), lambda acc, x: F.concat(acc, x.h))
-    return a.groupBy("owner").agg(F.sha2(joined, 256).alias("batch_sha256"))
+    a = blob_parts(spark, d).withColumn("pubkey", F.lpad(F.col("pubkey").cast("string"), 12, "0").cast("binary"))
+    return stats.ordered_hash(a, "owner")
 
 
 @query("SELECT event_type AS owner, CAST(count(*) AS BIGINT) AS n FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts) / 3600) DESC, event_id DESC) = 1) GROUP BY 1")
 def streaming_latest(spark, d):
     """The ingest loop over the table as a stream, then program counts over the latest rows of what it wrote."""
-    import uuid
-
     from acctframe.streaming import ingest
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        import tempfile
-
-        root = f"file://{tempfile.gettempdir()}/acctframe-shared"
-    root = f"{root.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    root = shared.new_path(spark, "ingest")
     schema = views.table(spark, d, "events").schema
     raw = spark.readStream.schema(schema).format("parquet").load(f"{d}/events.parquet*")
     hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)

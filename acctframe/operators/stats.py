@@ -9,6 +9,7 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from acctframe.functions import codecs
 from acctframe.functions import columns as C
@@ -79,23 +80,27 @@ def moving_mean(times: Column) -> Column:
     return F.aggregate(times, F.lit(0.0), lambda mean, x: (mean + x) / 2)
 
 
-def _in_key_order(accounts: DataFrame, by: str, key: str, data: str) -> DataFrame:
-    """Group (as text) and (key, data) hash of each row; groups are whole in a task, their rows in key order."""
-    hashes = accounts.select(F.col(by).cast("string").alias("by"), F.col(key).alias("k"), C.account_hash(key, data).alias("h"))
-    return hashes.repartition("by").sortWithinPartitions("by", "k", "h").select("by", "h")
+def _folded(accounts: DataFrame, by: str, key: str, data: str, folder: type, name: str) -> DataFrame:
+    """One text a group from its rows' (key, data) hashes, which come in key order; a group is whole in a task."""
+    hashes = accounts.select(F.col(by).alias("by"), F.col(key).alias("k"), C.account_hash(key, data).alias("h"))
+    ordered = hashes.repartition("by").sortWithinPartitions("by", "k", "h").select("by", "h")
+    kind = T.StructType([T.StructField(by, accounts.schema[by].dataType), T.StructField(name, T.StringType())])
+    return ordered.mapInArrow(partial(_fold, folder=folder, names=[by, name]), kind)
 
 
-def _fold(batches: Iterator[pa.RecordBatch], folder: type) -> Iterator[pa.RecordBatch]:
-    now, fold = object(), None
+def _fold(batches: Iterator[pa.RecordBatch], folder: type, names: list[str]) -> Iterator[pa.RecordBatch]:
+    now, fold, kind = None, None, None
+    out = lambda: pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([fold.done()])], names=names)
     for batch in batches:
-        for by, h in zip(batch.column("by").to_pylist(), batch.column("h").to_pylist(), strict=True):
+        kind = batch.schema.field(0).type
+        for by, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if fold is None or by != now:
                 if fold is not None:
-                    yield pa.record_batch({"by": pa.array([now], pa.string()), "hash": pa.array([fold.done()])})
+                    yield out()
                 now, fold = by, folder()
             fold.add(h)
     if fold is not None:
-        yield pa.record_batch({"by": pa.array([now], pa.string()), "hash": pa.array([fold.done()])})
+        yield out()
 
 
 class _Joined:
@@ -133,12 +138,12 @@ class _Tree:
 def ordered_hash(accounts: DataFrame, by: str, key: str = "pubkey", data: str = "data") -> DataFrame:
     """One SHA-256 over (key, data) hashes in key order for each group.  Data is hashed before the shuffle; a group's hashes then
     pass through one task, which the order asks for, and are not held there."""
-    return _in_key_order(accounts, by, key, data).mapInArrow(partial(_fold, folder=_Joined), "by string, hash string").select(F.col("by").alias(by), F.col("hash").alias("batch_sha256"))
+    return _folded(accounts, by, key, data, _Joined, "batch_sha256")
 
 
 def merkle_roots(accounts: DataFrame, by: str, key: str = "pubkey", data: str = "data") -> DataFrame:
     """Merkle root over the (key, data) hashes of each group in key order; a task holds a path of the tree, not the group."""
-    return _in_key_order(accounts, by, key, data).mapInArrow(partial(_fold, folder=_Tree), "by string, hash string").select(F.col("by").alias(by), F.col("hash").alias("root"))
+    return _folded(accounts, by, key, data, _Tree, "root")
 
 
 def largest_token_accounts(tokens: DataFrame, mint, n: int = 20) -> DataFrame:

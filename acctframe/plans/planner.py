@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from acctframe.operators import sets
 from acctframe.operators.predicates import DataSize, Discriminator, Memcmp
 
 #: Cost weights and selectivities (fixed values).
@@ -38,6 +39,20 @@ def estimate(rows: int, filters: list) -> Estimate:
     return Estimate(card, cost, card > STREAM_ROWS)
 
 
+def by_selectivity(filters: list) -> list:
+    """Filters by rising share of accounts that pass them, so that a conjunction tests the cheaper rejection first."""
+    return sorted(filters, key=lambda f: SELECTIVITY.get(type(f), 1.0))
+
+
+def column_of(f) -> str:
+    """The column that a filter searches by, for the query log."""
+    if isinstance(f, DataSize):
+        return "data_len"
+    if isinstance(f, Memcmp):
+        return f"data[{f.offset}:{f.offset + len(f.bytes)}]"
+    return "discriminator" if isinstance(f, Discriminator) else f.name
+
+
 @dataclass
 class Statistics:
     """Accounts per key of each index, as far as collected."""
@@ -71,17 +86,12 @@ def plan(stats: Statistics, program, filters: list) -> Plan:
     """Filters by rising cardinality, the program among them; what remains after each; and the cost."""
     size = stats.program.get(program, UNKNOWN_PROGRAM)
     ranked = sorted([("program", size), *((f, cardinality(stats, f)[0]) for f in filters)], key=lambda x: x[1])
-    left, inter = size, []
-    for _, n in ranked:
-        left = min(left, n)
-        inter.append(left)
-    running, cost = ranked[0][1], LOOKUP * len(ranked)
-    for _, n in ranked[1:]:
-        cost += running * INTERSECT
-        running = min(running, n)
-    if len(ranked) > 1:
-        cost += running * FETCH
-    return Plan([x[0] for x in ranked], [x[1] for x in ranked], inter, cost)
+    counts = [n for _, n in ranked]
+    # the list is sorted, so what remains is the least count from the first step on
+    least = counts[0]
+    joins = len(ranked) - 1
+    cost = LOOKUP * len(ranked) + INTERSECT * least * joins + (FETCH * least if joins else 0)
+    return Plan([x[0] for x in ranked], counts, [min(size, least)] * len(ranked), cost)
 
 
 def ordered_filters(stats: Statistics, program, filters: list) -> list:
@@ -104,7 +114,19 @@ def advise(entries: DataFrame, key: str, slow_queries: bool = False) -> DataFram
     return out.withColumn("layout", layout)
 
 
-def advise_from_log(log: DataFrame) -> DataFrame:
+def migrate(entries: DataFrame, key: str, layout: str, out: str, partitions: int, ids: str = "id") -> None:
+    """Writes entries in a layout of advise(): range-sorted by the key, bitmaps of ids by key, with a bloom filter on the key, or as they are."""
+    if layout == "btree":
+        entries.repartitionByRange(partitions, key).sortWithinPartitions(key).write.parquet(out)
+    elif layout == "bitmap":
+        sets.to_bitmaps(entries.select(key, ids), key).write.parquet(out)
+    elif layout == "hash":
+        entries.write.option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(out)
+    else:
+        entries.write.parquet(out)
+
+
+def advise_from_log(log: DataFrame, queries: int = ADVISE_QUERIES, scanned: float = ADVISE_SCANNED) -> DataFrame:
     """Columns of a query log (column, scanned) that were asked for often and scanned widely."""
     seen = log.groupBy("column").agg(F.count("*").alias("queries"), F.avg("scanned").alias("scanned"))
-    return seen.where((F.col("queries") >= ADVISE_QUERIES) & (F.col("scanned") >= ADVISE_SCANNED))
+    return seen.where((F.col("queries") >= queries) & (F.col("scanned") >= scanned))

@@ -56,6 +56,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it is not there."""
+    fs, at = _file_system(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """name, or the first of name_1, name_2, ... that no column of docs has (told apart as Spark does, without case)."""
     taken, out, k = {c.lower() for c in docs.columns}, name, 0

@@ -43,7 +43,7 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert plain(tuple(r[c] for c in cols) for r in df.collect()) == plain(tuple(r[i] for i in at) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["sort_lamports_all", "sort_data_size_all", "sort_slot_desc_all"])
+@pytest.mark.parametrize("name", ["sort_lamports", "sort_data_size", "sort_slot_desc"])
 def test_sorts_are_whole_and_in_order(spark, sf, duck, name):
     want = duck.sql(catalog.oracle_sql()[name]).fetchall()
     assert len(want) > 100 and [tuple(r) for r in catalog.queries()[name](spark, sf).collect()] == want
