@@ -1,15 +1,14 @@
-"""Exact byte-level BPE encoding through the tokenizers library, with each distinct piece encoded once per worker.
+"""Exact byte-level BPE encoding through the tokenizers library, with each distinct unit of text encoded once as long as a worker remembers it.
 
 A text is cut where the pre-tokenizer's pattern always starts a new pre-token, whatever else the text holds:
 before a plain space that a non-space follows, and on both sides of a line feed between two non-spaces.  The
-ids of the pieces, joined, are then the ids of the text.  Pieces are told apart by a 64-bit hash, and
-their ids are remembered in a cache of two generations that is bounded in bytes.
+ids of the pieces, joined, are then the ids of the text.  Pieces of a word and punctuation are cut between these once more.  The
+units are told apart by a 64-bit hash, and their ids are remembered in a cache of two generations that is bounded in bytes.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import regex
@@ -18,13 +17,15 @@ from acctframe.llm import _text
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Bytes of memory for each of the two generations of a worker's cache of pieces, and for its pre-tokens.
-CACHE_BYTES = 40 << 20
-#: Memory of an entry besides its ids; longer pieces are not remembered.
-ENTRY_BYTES, LONG_PIECE = 160, 1024
+#: Bytes of memory for each of the two generations of a worker's cache, and what a unit takes there besides its ids.
+CACHE_BYTES, ENTRY_BYTES = 24 << 20, 24
 #: The pre-tokenizer's pattern (a fixed value of the vocabulary file).
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_PLAIN = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,!?;:]*)\Z")
+#: Bytes of ASCII letters; second bytes, after C3, of U+00C0 to U+00FF but the signs U+00D7 and U+00F7; and plain punctuation.
+_LETTER, _LATIN, _MARK = (np.zeros(256, dtype=bool) for _ in range(3))
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+_MARK[list(b".,!?;:")] = True
 
 #: Bytes that begin a character that is no white space: U+0085, U+00A0, U+1680, U+180E, U+2000.. and U+3000 begin with C2, E1, E2 or E3.
 _BEGINS = np.zeros(256, dtype=bool)
@@ -42,6 +43,51 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
+class Cache:
+    """ids of units by their hash, in sorted arrays: a young generation that new units go into and the one before it."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young = self.old = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4"))
+
+    @staticmethod
+    def _find(generation: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in a generation, whether the key is there)."""
+        have = generation[0]
+        if not len(have):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+        return at, have[at] == keys
+
+    def get(self, keys: np.ndarray, make) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, starts, sizes) of sorted distinct keys; make(places of missing keys) gives (flat ids, sizes)."""
+        at, young = self._find(self.young, keys)
+        at_old, old = self._find(self.old, keys)
+        old &= ~young
+        missing = np.flatnonzero(~young & ~old)
+        made, made_sizes = make(missing) if len(missing) else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        start, size = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        flat, before = [], 0
+        for which, places, (_, starts, sizes, ids) in ((young, at, self.young), (old, at_old, self.old)):
+            start[which], size[which] = before + starts[places[which]], sizes[places[which]]
+            flat.append(ids)
+            before += len(ids)
+        start[missing], size[missing] = before + np.cumsum(made_sizes) - made_sizes, made_sizes
+        flat.append(made)
+        every = np.concatenate(flat)
+        self._add(keys, np.flatnonzero(~young), every, start, size)
+        return every, start, size
+
+    def _add(self, keys: np.ndarray, new: np.ndarray, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        have, starts, sizes, ids = self.young
+        n = size[new]
+        more = flat[np.repeat(start[new] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        spot = np.searchsorted(have, keys[new])
+        self.young = (np.insert(have, spot, keys[new]), np.insert(starts, spot, len(ids) + np.cumsum(n) - n), np.insert(sizes, spot, n), np.concatenate((ids, more)))
+        if ENTRY_BYTES * len(self.young[0]) + 4 * len(self.young[3]) > self.most:
+            self.old, self.young = self.young, tuple(x[:0].copy() for x in self.young)
+
+
 class Encoder:
     """Encodes batches of texts; special tokens' strings are ordinary text."""
 
@@ -52,65 +98,57 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.most = most
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
-        self.held = self.pretokens_held = 0
+        self.cache = Cache(most)
 
     def whole(self, text: str) -> bytes:
-        """ids of text as the library gives them, without pieces or caches."""
+        """ids of text as the library gives them, without units or caches."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _pretoken(self, text: str) -> bytes:
-        ids = self.pretokens.get(text)
-        if ids is None:
-            mapped = text.encode("utf-8").decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
-            if len(text) <= LONG_PIECE:
-                self.pretokens_held += 2 * ENTRY_BYTES + len(ids)
-                if self.pretokens_held > self.most:
-                    self.pretokens, self.pretokens_held = {}, 0
-                self.pretokens[text] = ids
-        return ids
-
-    def piece(self, raw: bytes) -> bytes:
+    def _pretokens(self, texts: list[str]) -> tuple[list[int], list[int]]:
+        """(flat ids, sizes) of pre-tokens in the byte-level alphabet."""
+        tokenize, flat, sizes = self.model.tokenize, [], []
+        for t in texts:
+            ids = [x.id for x in tokenize(t)]
+            flat += ids
+            sizes.append(len(ids))
+        return flat, sizes
+
+    def _other(self, raw: bytes) -> list[int]:
+        """ids of a unit that is not plain."""
         text = raw.decode("utf-8")
-        if m := _PLAIN.match(text):
-            return self._pretoken(m[1]) + self._pretoken(m[2]) if m[2] else self._pretoken(m[1])
-        if text.isascii():
-            return b"".join(map(self._pretoken, _PRETOKEN.findall(text)))
-        return self.whole(text)
-
-    def _lookup(self, keys: list[int], data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        young, old = self.young, self.old
-        found = [young.get(k) for k in keys]
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    ids = old.get(keys[i])
-                    if ids is None:
-                        ids = self.piece(data[starts[i] : ends[i]].tobytes())
-                    found[i] = ids
-                    if len(ids) <= LONG_PIECE:
-                        young[keys[i]] = ids
-                        self.held += ENTRY_BYTES + len(ids)
-            if self.held > self.most:
-                self.young, self.old, self.held = {}, young, 0
-        return found
-
-    def _ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """(ids of the distinct pieces, their numbers, each piece's place among the distinct ones)."""
+        if not text.isascii():
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self._pretokens([t.translate(self.letters) for t in _PRETOKEN.findall(text)])[0]
+
+    def _make(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, sizes) of units; the plain ones, which are one pre-token each, are translated together."""
+        sizes = np.zeros(len(starts), np.int64)
+        size = ends[plain] - starts[plain] + 1
+        at = np.cumsum(size) - size
+        joined = data[np.minimum(np.repeat(starts[plain] - at, size) + np.arange(size.sum()), len(data) - 1)]
+        joined[at + size - 1] = 10  # a line feed, which no plain unit has, between them
+        letters = {k: v for k, v in self.letters.items() if k != 10}
+        flat, sizes[plain] = self._pretokens(joined[:-1].tobytes().decode("latin-1").translate(letters).split("\n")) if plain.any() else ([], 0)
+        others = [self._other(data[a:b].tobytes()) for a, b in zip(starts[~plain].tolist(), ends[~plain].tolist(), strict=True)]
+        sizes[~plain] = np.fromiter(map(len, others), np.int64, len(others))
+        # plain units' ids come first in `every`, those of the others behind them; both go to their places
+        every = np.array([*flat, *(x for o in others for x in o)], "<u4")
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        begin = np.empty(len(starts), np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        return every[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())], sizes
+
+    def _ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, starts there and sizes of the distinct units, each unit's place among them)."""
         unique, where, inverse = np.unique(_text.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        found = self._lookup(unique.tolist(), data, starts[where], ends[where])
-        return found, np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 2, inverse
+        return *self.cache.get(unique, lambda m: self._make(data, starts[where[m]], ends[where[m]], plain[where[m]])), inverse
 
     def sizes(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, numbers of ids) of all pieces of the texts."""
+        """(starts, numbers of ids) of all units of the texts."""
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        starts, ends = pieces(data, offs)
-        _, size, inverse = self._ids(data, starts, ends)
+        starts, ends, plain = units(data, offs)
+        _, _, size, inverse = self._ids(data, starts, ends, plain)
         return starts, size[inverse]
 
     def batch(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,10 +156,8 @@ class Encoder:
         docs = len(offs) - 1
         if not len(data):
             return np.zeros(0, "<u4"), np.zeros(docs + 1, np.int64)
-        starts, ends = pieces(data, offs)
-        found, size, inverse = self._ids(data, starts, ends)
-        flat = np.frombuffer(b"".join(found), dtype="<u4")
-        base = np.cumsum(size) - size
+        starts, ends, plain = units(data, offs)
+        flat, base, size, inverse = self._ids(data, starts, ends, plain)
         n = size[inverse]
         out = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=out[1:])
@@ -129,6 +165,28 @@ class Encoder:
         return ids, out[np.searchsorted(starts, offs)]
 
 
+def units(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the units, and which are plain.  A piece of a word and punctuation after it is two plain units, one
+    pre-token each; any other piece is a unit that is not plain."""
+    starts, ends = pieces(data, offs)
+    letter = _LETTER[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[_LATIN[data[lead + 1]]]
+    letter[lead] = letter[lead + 1] = True
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    before, marks = np.zeros(len(data) + 1, kind), np.zeros(len(data) + 1, kind)
+    np.cumsum(letter, out=before[1:])
+    np.cumsum(_MARK[data], out=marks[1:])
+    first = starts + (data[starts] == 32)
+    word = before[ends] - before[first]
+    cut = first + word
+    plain = (word > 0) & (before[cut] - before[first] == word) & (marks[ends] - marks[cut] == ends - cut)
+    both = plain & (cut < ends)
+    spot = np.flatnonzero(both) + 1
+    out = np.insert(starts, spot, cut[both])
+    return out, np.append(out[1:], len(data)), np.insert(plain, spot, True)
+
+
 def pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the pieces; together they hold every byte once."""
     n = len(data)
