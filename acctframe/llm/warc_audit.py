@@ -1,41 +1,111 @@
-"""Merkle fixity audit of WARC replicas, in DataFrame operations only.
+"""Merkle fixity audit of replicas of WARC files.
 
-Pages become WARC/1.1 resource records, dealt to files of FILE_PAGES page ids each and laid out by page_id.  A leaf hashes
-a record's place (offset, length) and its bytes; an inner node hashes the offset range and the hashes of up to FANOUT
+Pages are written as WARC/1.1 resource records, in order of page_id and content, to files of about FILE_BYTES through Spark's text
+sink, so any file system will do and a lost attempt is never seen.  A replica is a folder of such files.  Reading one walks each
+file by its records' lengths; where a record does not parse, what goes up to the next record's beginning counts as one damaged record.
+
+A leaf hashes a record's place (offset, length) and its bytes; an inner node hashes the offset range and the hashes of up to FANOUT
 children in order; the top of a file is a child in the tree over files.  Two replicas are compared from the root, and
-each level reads only the children of nodes that differ, down to the records that are corrupt, missing or added.
+each level reads only the children of nodes that differ.  Records under leaves that differ are aligned within their file, by
+record id and content, then by id, then by place, so that a record that is missing in the middle does not make those after it corrupt.
 
-Defined cases: null url or html count as empty; a null page_id goes to the file of id 0, first; repeated rows are records
-of their own, ordered by url and content hash; empty tables have no root and give no row; other columns are not read.
+Defined cases: null url or html count as empty, line breaks in a url are percent-encoded; null page_ids come first and are spread over files like
+others; repeated rows are records of their own; a file that one replica lacks has all its records missing or added; empty
+tables have no root and give no row; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from acctframe.llm import _io
 
-FILE_PAGES, FANOUT = 4096, 16
+FILE_BYTES, FANOUT = 16 << 20, 16
 ARCHIVE = -(1 << 62)
+BEGIN, END = b"WARC/1.1\r\n", b"\r\n\r\n"
+#: Bytes in which a record's header ends, if it is one.
+HEADER_BYTES = 1 << 16
 #: The query's second replica has the middle byte of each record with page_id % DAMAGE == DAMAGE_AT set to zero.
 DAMAGE, DAMAGE_AT = 50, 7
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """page_id, file_id and record: the bytes of each page's WARC record."""
-    url, html = F.coalesce(F.col("url").cast("string"), F.lit("")), F.coalesce(F.col("html").cast("string"), F.lit(""))
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
-    page_id = F.col("page_id").cast("long")
-    return pages.select(page_id.alias("page_id"), F.coalesce(F.floor(page_id / FILE_PAGES), F.lit(0)).cast("long").alias("file_id"), F.encode(F.concat(head, html, F.lit("\r\n\r\n")), "UTF-8").alias("record"))
+    """page_id and record: the bytes of each page's WARC record."""
+    url = F.replace(F.replace(F.coalesce(F.col("url").cast("string"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    html, page_id = F.coalesce(F.col("html").cast("string"), F.lit("")), F.col("page_id").cast("long")
+    name = F.concat(F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(">"))
+    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource"), name, F.lit("\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
+    return pages.select(page_id.alias("page_id"), F.encode(F.concat(head, html, F.lit("\r\n\r\n")), "UTF-8").alias("record"))
+
+
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [r.as_buffer() for b in batches for r in b.column(0)]
+    if held:
+        yield pa.record_batch({"content": pa.array([b"".join(held)], pa.binary())})
+
+
+def write_replica(recs: DataFrame, out: str, stored: str = "record") -> None:
+    """Writes records (page_id, record) as WARC files in order; `stored` names another column whose bytes stand in for the record's."""
+    total = recs.agg(F.coalesce(F.sum(F.octet_length("record")), F.lit(0))).first()[0]
+    order = [F.col("page_id").asc_nulls_first(), F.sha2("record", 256), "row"]  # the row's place parts equal rows over files
+    rows = recs.withColumn("row", F.monotonically_increasing_id())
+    files = rows.repartitionByRange(max(1, -(-total // FILE_BYTES)), *order).sortWithinPartitions(*order).select(stored).mapInArrow(_join, "content binary")
+    files.select(F.col("content").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(out)
+
+
+_LENGTH, _PAGE = re.compile(rb"\r\nContent-Length: (\d+)\r\n"), re.compile(rb"\r\nWARC-Record-ID: <urn:page:(-?\d+|none)>\r\n")
+
+
+def walk(content: bytes) -> Iterator[tuple[int, int, bytes | None]]:
+    """(offset, length, record id) of the records of a file; the id is None where a record does not parse."""
+    size, at = len(content) - content.endswith(b"\n" if not content.endswith(END) else b"\0"), 0
+    while at < size:
+        head = content.find(END, at, min(size, at + HEADER_BYTES)) if content.startswith(BEGIN, at) else -1
+        found = _LENGTH.search(content, at, head + 2) if head >= 0 else None
+        name = _PAGE.search(content, at, head + 2) if head >= 0 else None
+        end = head + 2 * len(END) + int(found[1]) if found else size + 1
+        if name and end <= size and content.startswith(END, end - len(END)) and (end == size or _begins(content, end, size)):
+            yield at, end - at, name[1]
+        else:
+            end = content.find(BEGIN, at + 1, size)
+            end = size if end < 0 else end
+            yield at, end - at, None
+        at = end
+
+
+def _begins(content: bytes, at: int, size: int) -> bool:
+    """Whether a record begins here, if need be one whose first line is damaged: it has a length before the next record."""
+    if content.startswith(BEGIN, at):
+        return True
+    after = content.find(BEGIN, at, size)
+    return _LENGTH.search(content, at, min(size if after < 0 else after, at + HEADER_BYTES)) is not None
 
 
-def leaves(recs: DataFrame) -> DataFrame:
-    """page_id, file_id, idx, offset, length, content, hash; idx and offset are places in the file."""
-    small = recs.select("page_id", "file_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("content"))
-    w = Window.partitionBy("file_id").orderBy(F.col("page_id").asc_nulls_first(), "content")
-    placed = small.withColumn("idx", F.row_number().over(w).cast("long") - 1).withColumn("offset", F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return placed.withColumn("hash", F.sha2(F.concat_ws("|", F.lit("record"), "offset", "length", "content").cast("binary"), 256))
+LEAVES = "file_id long, idx long, offset long, length long, record_id string, content string"
+
+
+def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            file = int(re.search(r"part-(\d+)", path)[1])
+            rows = [(file, i, at, n, None if name is None else name.decode(), hashlib.sha256(memoryview(content)[at : at + n]).hexdigest()) for i, (at, n, name) in enumerate(walk(content))]
+            if rows:
+                kinds = [pa.int64()] * 4 + [pa.string()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in LEAVES.split(", ")])
+
+
+def read_replica(spark: SparkSession, path: str) -> DataFrame:
+    """The leaves of a replica's files: place, record id and content hash of each record, and the leaf's hash; written once."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    leaf = files.mapInArrow(_leaves, LEAVES)
+    return _io.stored(leaf.withColumn("hash", F.sha2(F.concat_ws("|", F.lit("record"), "offset", "length", "content").cast("binary"), 256)), "warc-leaves")
 
 
 def levels(leaf: DataFrame, in_file: int, over_files: int) -> list[DataFrame]:
@@ -52,7 +122,7 @@ def levels(leaf: DataFrame, in_file: int, over_files: int) -> list[DataFrame]:
         now = now.withColumn("place", place).withColumn("up_file", up_file.cast("long")).withColumn("up_idx", up_idx.cast("long"))
         out.append(_io.stored(now, "merkle") if k else now)
         if not root:
-            kids = F.array_sort(F.collect_list(F.struct("place", "hash")))
+            kids = F.array_sort(F.collect_list(F.struct("place", "hash")))  # FANOUT of them at most
             up = out[-1].groupBy("up_file", "up_idx").agg(kids.alias("kids"), F.min("offset").alias("offset"), F.sum("length").alias("length"))
             now = up.select(F.col("up_file").alias("file_id"), F.col("up_idx").alias("idx"), "offset", "length", F.sha2(F.concat_ws("|", F.lit("node"), "offset", "length", F.array_join("kids.hash", "")).cast("binary"), 256).alias("hash"))
     return out
@@ -66,43 +136,87 @@ def height(count: int) -> int:
     return n
 
 
-def audit(first: DataFrame, second: DataFrame) -> DataFrame:
-    """file_id, idx and state ('corrupt', 'missing' or 'added' in second) of the records in which two replicas' leaves differ."""
-    spans = [x.agg(F.max("idx"), F.max(F.abs("file_id"))).first() for x in (first, second)]
+def differing_leaves(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Keys (file_id, idx) of the leaves that differ or that one replica lacks, found from the root down."""
+    spans = [x.agg(F.max("idx"), F.max("file_id")).first() for x in (first, second)]
     in_file, over_files = (height(1 + max(s[i] or 0 for s in spans)) for i in (0, 1))
-    a, b = levels(first, in_file, over_files), levels(second, in_file, over_files)
-    suspects = None
-    for left, right in zip(reversed(a), reversed(b), strict=True):
+    trees, suspects = [levels(first, in_file, over_files), levels(second, in_file, over_files)], None
+    for left, right in zip(*(reversed(t) for t in trees), strict=True):
         if suspects is not None:
             above = suspects.select(F.col("file_id").alias("up_file"), F.col("idx").alias("up_idx"))
             left, right = (x.join(above, ["up_file", "up_idx"], "left_semi") for x in (left, right))
         key = ["file_id", "idx"]
         both = left.select(*key, F.col("hash").alias("h1")).join(right.select(*key, F.col("hash").alias("h2")), key, "full_outer")
-        state = F.when(F.col("h2").isNull(), "missing").when(F.col("h1").isNull(), "added").otherwise("corrupt")
-        suspects = _io.stored(both.where(~F.col("h1").eqNullSafe(F.col("h2"))).select(*key, state.alias("state")), "suspects")
+        new = _io.stored(both.where(~F.col("h1").eqNullSafe(F.col("h2"))).select(*key), "suspects")
+        if suspects is not None:
+            _io.drop_stored(suspects)
+        suspects = new
+    for x in (n for t in trees for n in t[1:]):
+        _io.drop_stored(x)
     return suspects
 
 
+def _paired(left: DataFrame, right: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, rest of left, rest of right): the n-th rows of both sides with the same values, which are not null, go together."""
+    w = Window.partitionBy("file_id", *by).orderBy("idx")  # within a file, which is of bounded size
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by])
+    numbered = [x.withColumn("nth", F.when(whole, F.row_number().over(w))) for x in (left, right)]
+    key = ["file_id", *by, "nth"]
+    pairs = numbered[0].join(numbered[1].select(*key, F.col("idx").alias("idx2")), key)
+    rest = [a.join(b.where("nth is not null").select(*key), key, "left_anti").drop("nth") for a, b in (numbered, numbered[::-1])]
+    return pairs.drop("nth"), *rest
+
+
+def audit(first: DataFrame, second: DataFrame) -> DataFrame:
+    """file_id, idx, offset, length, record_id, content and state ('corrupt', 'missing' or 'added' in second) of records that are not the
+    same in two replicas' leaves; of added ones the place is that in second."""
+    suspects = differing_leaves(first, second)
+    left, right = (_io.stored(x.drop("hash").join(suspects, ["file_id", "idx"], "left_semi"), "suspects") for x in (first, second))
+    _, left, right = _paired(left, right, ["record_id", "content"])
+    left, right = _io.stored(left, "suspects"), _io.stored(right, "suspects")
+    same_id, left, right = _paired(left, right, ["record_id"])
+    same_place, left, right = _paired(left, right, ["offset", "length"])
+    columns = ["file_id", "idx", "offset", "length", "record_id", "content"]
+    parts = [(same_id, "corrupt"), (same_place, "corrupt"), (left, "missing"), (right, "added")]
+    return reduce(DataFrame.unionByName, [x.select(*columns).withColumn("state", F.lit(s)) for x, s in parts])
+
+
+def in_one_line(leaf: DataFrame) -> DataFrame:
+    """Leaves with record_index and start: a record's number and place in all files one after the other.  One row a file meets in the window."""
+    files = leaf.groupBy("file_id").agg(F.count("*").alias("n"), F.sum("length").alias("size"))
+    w = Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)
+    base = files.select("file_id", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n_before"), F.coalesce(F.sum("size").over(w), F.lit(0)).alias("before"))
+    return leaf.join(base, "file_id").withColumn("record_index", F.col("n_before") + F.col("idx")).withColumn("start", F.col("before") + F.col("offset"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a replica in which one record in DAMAGE has a byte changed; one row a page."""
+    """Writes and reads two replicas, in the second of which one record in DAMAGE has a byte changed, and audits them; one row a page."""
     good = records(_io.table(spark, sf_dir, "pages"))
     middle = (F.octet_length("record") / 2).cast("int") + 1
-    bad = good.withColumn("record", F.when(F.col("page_id") % DAMAGE == DAMAGE_AT, F.overlay("record", F.lit(bytearray(1)), middle, F.lit(1))).otherwise(F.col("record")))
-    first, second = _io.stored(leaves(good), "warc-a"), _io.stored(leaves(bad), "warc-b")
-    state = first.join(audit(first, second), ["file_id", "idx"], "left")
-    return state.select("page_id", "file_id", F.col("idx").alias("record_index"), "offset", "length", F.col("content").alias("record_sha256"), F.coalesce("state", F.lit("ok")).alias("state"))
+    bad = good.withColumn("stored", F.when(F.col("page_id") % DAMAGE == DAMAGE_AT, F.overlay("record", F.lit(bytearray(1)), middle, F.lit(1))).otherwise(F.col("record")))
+    leaves = []
+    for recs, stored in ((good, "record"), (bad, "stored")):
+        path = _io.new_path(spark, "warc")
+        write_replica(recs, path, stored)
+        leaves.append(read_replica(spark, path))
+        _io.delete_path(spark, path)
+        _io.release(spark)
+    found = audit(*leaves)
+    state = in_one_line(leaves[0]).join(found.select("file_id", "idx", "state"), ["file_id", "idx"], "left")
+    page = F.when(F.col("record_id") != "none", F.col("record_id").cast("long"))
+    return state.select(page.alias("page_id"), "record_index", F.col("start").alias("offset"), "length", F.col("content").alias("record_sha256"), F.coalesce("state", F.lit("ok")).alias("state"))
 
 
 SQL = f"""
 WITH r AS (
-  SELECT page_id, CAST(floor(page_id / {FILE_PAGES}.0) AS BIGINT) AS file_id,
-    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+  SELECT page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), 'none') || '>'
+    || chr(13) || chr(10) || 'WARC-Target-URI: ' || replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') || chr(13) || chr(10)
     || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)
     || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec
   FROM pages),
-l AS (SELECT page_id, file_id, CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS record_sha256 FROM r)
-SELECT page_id, file_id, CAST(row_number() OVER w - 1 AS BIGINT) AS record_index,
+l AS (SELECT page_id, CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS record_sha256 FROM r)
+SELECT page_id, CAST(row_number() OVER w - 1 AS BIGINT) AS record_index,
   CAST(coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", length, record_sha256,
   CASE WHEN page_id % {DAMAGE} = {DAMAGE_AT} THEN 'corrupt' ELSE 'ok' END AS state
-FROM l WINDOW w AS (PARTITION BY file_id ORDER BY page_id, record_sha256)
+FROM l WINDOW w AS (ORDER BY page_id NULLS FIRST, record_sha256)
 """

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -294,12 +295,89 @@ def test_spans_point_to_the_original():
     assert ids == {"1"} and raw[span["start"] : span["end"]].decode() == ", ".join(f"Wörd{i}" for i in range(15))
 
 
-def test_warc_audit_finds_missing_and_added(spark, sf):
-    pages = _io.table(spark, sf, "pages")
-    first = warc_audit.leaves(warc_audit.records(pages))
-    second = warc_audit.leaves(warc_audit.records(pages.where("page_id <> 49").union(pages.where("page_id = 3").selectExpr("9999L", "url", "html"))))
-    got = {(r.file_id, r.idx): r.state for r in warc_audit.audit(first, second).collect()}
-    assert got == {(0, 49): "missing", (2, 0): "added"}
+@pytest.fixture(scope="module")
+def replicas(spark, sf, tmp_path_factory):
+    """Records of the pages in several files, and a function that reads a replica in which some are changed."""
+    d = str(tmp_path_factory.mktemp("warc"))
+    pages = _io.table(spark, sf, "pages").unionByName(_io.table(spark, sf, "pages").where("page_id < 2"))
+    warc_audit.write_replica(warc_audit.records(pages), f"{d}/first")
+    names = sorted(n for n in os.listdir(f"{d}/first") if n.startswith("part-"))
+
+    def changed(name, change):
+        os.makedirs(f"{d}/{name}", exist_ok=True)
+        for k, n in enumerate(names):
+            with open(f"{d}/first/{n}", "rb") as f:
+                raw = f.read()
+            raw = change(k, raw)
+            if raw is not None:
+                with open(f"{d}/{name}/{n}", "wb") as f:
+                    f.write(raw)
+        return warc_audit.read_replica(spark, f"{d}/{name}")
+
+    return warc_audit.read_replica(spark, f"{d}/first"), changed, names
+
+
+@pytest.fixture(scope="module", autouse=True)
+def small_files():
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(warc_audit, "FILE_BYTES", 20_000)
+        yield
+
+
+def warc_states(first, second):
+    return sorted((r.file_id, r.idx, r.state) for r in warc_audit.audit(first, second).collect())
+
+
+def test_warc_records_come_back(spark, sf, replicas):
+    first, _, names = replicas
+    rows, pages = first.collect(), _io.table(spark, sf, "pages").collect()
+    assert len(names) > 3 and len(rows) == len(pages) + 2 and None not in {r.record_id for r in rows}
+    for p in pages:
+        html = (p.html or "").encode()
+        rec = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{p.page_id}>\r\nWARC-Target-URI: {p.url}\r\nContent-Type: text/html\r\nContent-Length: {len(html)}\r\n\r\n".encode() + html + b"\r\n\r\n"
+        mine = [r for r in rows if r.record_id == str(p.page_id)]
+        assert len(mine) == 1 + (p.page_id < 2) and all((r.length, r.content) == (len(rec), hashlib.sha256(rec).hexdigest()) for r in mine)
+
+
+def test_warc_audit_finds_a_record_missing_in_the_middle(replicas):
+    first, changed, _ = replicas
+    spot = {}
+
+    def cut(k, raw):
+        if k != 1:
+            return raw
+        spots = list(warc_audit.walk(raw))
+        spot["n"], (at, n, _) = len(spots), spots[1]
+        return raw[:at] + raw[at + n :]
+
+    assert warc_states(first, changed("cut", cut)) == [(1, 1, "missing")] and spot["n"] > 2
+    back = changed("same", lambda k, raw: raw)
+    assert warc_states(first, back) == []
+
+
+def test_warc_audit_finds_added_and_lost_files(replicas):
+    first, changed, names = replicas
+    second = changed("lost", lambda k, raw: None if k == 2 else raw)
+    gone = sorted((r.file_id, r.idx) for r in first.where("file_id = 2").collect())
+    assert warc_states(first, second) == [(*g, "missing") for g in gone] and warc_states(second, first) == [(*g, "added") for g in gone]
+
+
+@pytest.mark.parametrize("place", range(12))
+def test_warc_audit_finds_any_damaged_byte(replicas, place):
+    """Bytes of the header, the length, the body and the end of a record; records around it stay."""
+    first, changed, _ = replicas
+
+    def harm(k, raw):
+        if k != 1:
+            return raw
+        at, n, _ = list(warc_audit.walk(raw))[1]
+        length = raw.index(b"Content-Length: ", at) + 16
+        spots = [at, at + 5, at + 9, raw.index(b"page:", at) + 5, length, length + 1, length + 2, length + 6, at + n - 1, at + n - 4, at + n // 2, at + n - 20]
+        raw = bytearray(raw)
+        raw[spots[place]] = 0x37 if raw[spots[place]] != 0x37 else 0x38
+        return bytes(raw)
+
+    assert warc_states(first, changed(f"harm{place}", harm)) == [(1, 1, "corrupt")]
 
 
 def test_audio(spark, sf, docs):
