@@ -1,6 +1,7 @@
 """Every operator against a plain version of it on the smallest tables."""
 
 import collections
+import functools
 import hashlib
 import math
 import os
@@ -230,33 +231,62 @@ def test_suffix_dedup(spark, sf, docs, monkeypatch, kinds):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), len(b) - len(kept), int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest())
 
 
+def edited(b, s, e, new):
+    """b with the bytes from s to e replaced, as edits are defined."""
+    s = min(max(s, 0), len(b))
+    e = min(max(e, s), len(b))
+    while 0 < s < len(b) and b[s] & 0xC0 == 0x80:
+        s -= 1
+    while 0 < e < len(b) and b[e] & 0xC0 == 0x80:
+        e += 1
+    return b[:s] + new + b[max(s, e) :]
+
+
 def test_edit_counts(encoder, docs):
+    """Random edits of many trees at once, against whole texts encoded anew."""
     rng = random.Random(5)
     alphabet = "ab cD'\n\t 12é,!. \n  s't  ñß日本 \n"
-    for t in [*list(docs.values())[:40], "", "a", " ", *("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 900))) for _ in range(60))]:
-        tree, b = edit_counts.Tree(encoder, t.encode()), t.encode()
-        for _ in range(8):
+    texts = [t.encode() for t in [*list(docs.values())[:40], "", "a", " ", *("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 900))) for _ in range(60))]]
+    trees = [edit_counts.plant(encoder, b) for b in texts]
+    for _ in range(8):
+        edits = []
+        for b in texts:
             s = rng.randint(0, len(b))
-            e = min(len(b), s + rng.choice([0, 0, 1, 5, 600]))
-            new = "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 9]))).encode()
-            while 0 < s < len(b) and b[s] & 0xC0 == 0x80:
-                s -= 1
-            while 0 < e < len(b) and b[e] & 0xC0 == 0x80:
-                e += 1
-            tree.edit(s, e, new)
-            b = b[:s] + new + b[max(s, e) :]
-            assert tree.text() == b and tree.total == len(encoder.whole(b.decode())) // 4
+            edits.append([(s, min(len(b), s + rng.choice([0, 0, 1, 5, 600])), "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 9, 900]))).encode()) for _ in range(rng.choice([0, 1, 2]))])
+        edit_counts.edit_all(encoder, trees, edits)
+        texts = [functools.reduce(lambda x, e: edited(x, *e), each, b) for b, each in zip(texts, edits, strict=True)]
+        for tree, b in zip(trees, texts, strict=True):
+            assert tree.text() == b and tree.total == len(encoder.whole(b.decode())) // 4 == tree.of_leaves(tree.tokens).sum()
 
 
 def test_edit_counts_query(spark, sf, docs, encoder):
     got = by_doc(edit_counts.query(spark, sf))
-    for k in list(docs)[:50]:
-        assert got[k].n_tokens == len(encoder.whole(docs[k])) // 4
+    for k, t in docs.items():
+        b, n = t.encode(), len(t.encode())
+        for s, e, new in ((n // 4, n // 4, b" inserted, here"),):
+            b = edited(b, s, e, new)
+        b = edited(b, n // 2, n // 2 + 24, b"")
+        b = edited(b, n - 8, n, b" end.")
+        r = got[k]
+        assert (r.n_tokens, r.n_edits, r.edited_bytes) == (len(encoder.whole(t)) // 4, 3, len(b))
+        assert r.edited_tokens == len(encoder.whole(b.decode())) // 4
+        assert len(t) < 20_000 or r.encoded_bytes < len(b) / 4
+
+
+def test_trees_are_kept_and_edited_again(spark, sf, docs, encoder):
+    """Edits of two tables one after the other; documents without edits are not tokenised."""
+    trees = _io.stored(edit_counts.build(_io.table(spark, sf, "documents"), _bpe.default_vocabulary()), "trees")
     b = docs[0].encode()
     at = b.index(b" ")
-    edits = spark.createDataFrame([(0, 1, 0, 0, "X "), (0, 0, at, at + 1, None)], "doc_id long, seq long, start long, end long, new string")
-    r = by_doc(edit_counts.counts(_io.table(spark, sf, "documents"), edits, _bpe.default_vocabulary()))[0]
-    assert r.n_edits == 2 and r.edited_tokens == len(encoder.whole("X " + (b[:at] + b[at + 1 :]).decode())) // 4
+    kind = "doc_id long, seq long, start long, end long, new string"
+    first = spark.createDataFrame([(0, 1, 0, 0, "X "), (0, 0, at, at + 1, None)], kind)
+    once = _io.stored(edit_counts.apply_edits(edit_counts.with_edits(trees, first), _bpe.default_vocabulary()), "trees")
+    rows, b = by_doc(once), b"X " + b[:at] + b[at + 1 :]
+    assert rows[0].n_edits == 2 and rows[0].edited_tokens == len(encoder.whole(b.decode())) // 4 and rows[0].text.encode() == b
+    assert all(r.encoded_bytes == 0 and r.n_tokens == r.edited_tokens and r.text == docs[k] for k, r in rows.items() if k)
+    again = spark.createDataFrame([(0, 0, len(b), len(b) + 5, " last words")], kind)
+    r = by_doc(edit_counts.apply_edits(edit_counts.with_edits(once, again), _bpe.default_vocabulary()))[0]
+    assert r.n_tokens == rows[0].edited_tokens and r.edited_tokens == len(encoder.whole(b.decode() + " last words")) // 4 and sum(r.leaf_bytes) == len(b) + 11
 
 
 def test_decontamination(spark, sf, docs):
