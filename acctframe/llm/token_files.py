@@ -31,7 +31,7 @@ from acctframe.llm import _bpe, _io, _text
 
 MASK_DELTA = 0xA282EAD8
 #: Bytes of text for one shard, and shards at most.
-SHARD_BYTES, MOST_SHARDS = 24 << 20, 1 << 15
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 1 << 15
 #: Bytes of text that are encoded at once.
 SLICE = 1 << 21
 HEAD = struct.Struct("<BqI")
