@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acctframe.shared import delete_path, drop_stored, fresh, new_path, stored
+from acctframe.shared import delete_path, drop_stored, exists, fresh, new_path, stored
 
-__all__ = ["delete_path", "drop_stored", "fresh", "new_path", "release", "size_of", "stored", "table", "text_bytes"]
+__all__ = ["delete_path", "drop_stored", "exists", "fresh", "new_path", "release", "size_of", "stored", "table", "text_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

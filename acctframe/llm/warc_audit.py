@@ -1,10 +1,10 @@
 """Merkle fixity audit of replicas of WARC files.
 
-Pages are written as WARC/1.1 resource records, in order of page_id and content, to files of about FILE_BYTES through Spark's text
-sink, so any file system will do and a lost attempt is never seen.  A replica is a folder of such files.  Reading one walks each
-file by its records' lengths; where a record does not parse, what goes up to the next record's beginning counts as one damaged record.
+Pages are written as WARC/1.1 resource records, each its own gzip member, in order of page_id and content, to files of about FILE_BYTES of
+records through Spark's text sink, so any file system will do and a lost attempt is never seen.  A replica is a folder of such files.  Reading one
+walks each file member by member; where a member does not hold a record, what goes up to the next one that does counts as one damaged record.
 
-A leaf hashes a record's place (offset, length) and its bytes; an inner node hashes the offset range and the hashes of up to FANOUT
+A leaf hashes a record's place (offset, length) and its stored bytes; an inner node hashes the offset range and the hashes of up to FANOUT
 children in order; the top of a file is a child in the tree over files.  Two replicas are compared from the root, and
 each level reads only the children of nodes that differ.  Records under leaves that differ are aligned within their file, by
 record id and content, then by id, then by place, so that a record that is missing in the middle does not make those after it corrupt.
@@ -18,8 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,9 +31,8 @@ from acctframe.llm import _io
 FILE_BYTES, FANOUT = 16 << 20, 16
 ARCHIVE = -(1 << 62)
 BEGIN, END = b"WARC/1.1\r\n", b"\r\n\r\n"
-#: Bytes in which a record's header ends, if it is one.
-HEADER_BYTES = 1 << 16
-#: The query's second replica has the middle byte of each record with page_id % DAMAGE == DAMAGE_AT set to zero.
+MEMBER, GZIP = b"\x1f\x8b\x08", 31
+#: The query's second replica has the middle byte of each stored record with page_id % DAMAGE == DAMAGE_AT changed.
 DAMAGE, DAMAGE_AT = 50, 7
 
 
@@ -45,64 +45,102 @@ def records(pages: DataFrame) -> DataFrame:
     return pages.select(page_id.alias("page_id"), F.encode(F.concat(head, html, F.lit("\r\n\r\n")), "UTF-8").alias("record"))
 
 
-def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [r.as_buffer() for b in batches for r in b.column(0)]
-    if held:
-        yield pa.record_batch({"content": pa.array([b"".join(held)], pa.binary())})
+def member(record: bytes) -> bytes:
+    z = zlib.compressobj(1, zlib.DEFLATED, GZIP)
+    return z.compress(record) + z.flush()
 
 
-def write_replica(recs: DataFrame, out: str, stored: str = "record") -> None:
-    """Writes records (page_id, record) as WARC files in order; `stored` names another column whose bytes stand in for the record's."""
+def _join(batches: Iterator[pa.RecordBatch], replicas: list[str]) -> Iterator[pa.RecordBatch]:
+    """The content of a file, for each replica; a record with a true value in a replica's column is stored with its middle byte changed."""
+    files: dict[str, list[bytes]] = {r: [] for r in replicas}
+    for batch in batches:
+        stored = [member(r.as_buffer()) for r in batch.column("record")]
+        for k, r in enumerate(replicas):
+            files[r] += [m[: len(m) // 2] + bytes([m[len(m) // 2] ^ 0xFF]) + m[len(m) // 2 + 1 :] if harm else m for m, harm in zip(stored, batch.column(k + 1).to_pylist(), strict=True)]
+    if any(files.values()):
+        yield pa.record_batch({"content": pa.array([b"".join(f) for f in files.values()], pa.binary()), "replica": pa.array(list(files), pa.string())})
+
+
+def write_replicas(recs: DataFrame, out: str, replicas: dict[str, object]) -> dict[str, str]:
+    """Writes records (page_id, record) as the same WARC files once for each replica, and gives the replicas' folders.
+
+    replicas: name, and a condition for the records that are to be stored damaged there (or None), as a fixity drill wants them."""
     total = recs.agg(F.coalesce(F.sum(F.octet_length("record")), F.lit(0))).first()[0]
     order = [F.col("page_id").asc_nulls_first(), F.sha2("record", 256), "row"]  # the row's place parts equal rows over files
-    rows = recs.withColumn("row", F.monotonically_increasing_id())
-    files = rows.repartitionByRange(max(1, -(-total // FILE_BYTES)), *order).sortWithinPartitions(*order).select(stored).mapInArrow(_join, "content binary")
-    files.select(F.col("content").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(out)
+    harm = {f"harm{k}": F.lit(False) if c is None else F.coalesce(c, F.lit(False)) for k, c in enumerate(replicas.values())}
+    rows = recs.select("page_id", "record", *[c.alias(n) for n, c in harm.items()], F.monotonically_increasing_id().alias("row"))
+    files = rows.repartitionByRange(max(1, -(-total // FILE_BYTES)), *order).sortWithinPartitions(*order).select("record", *harm).mapInArrow(partial(_join, replicas=list(replicas)), "content binary, replica string")
+    files.select(F.col("content").cast("string").alias("value"), "replica").write.partitionBy("replica").option("lineSep", "\n").option("compression", "none").text(out)
+    return {r: f"{out}/replica={r}" for r in replicas}
 
 
 _LENGTH, _PAGE = re.compile(rb"\r\nContent-Length: (\d+)\r\n"), re.compile(rb"\r\nWARC-Record-ID: <urn:page:(-?\d+|none)>\r\n")
+CHUNK = 1 << 14
 
 
-def walk(content: bytes) -> Iterator[tuple[int, int, bytes | None]]:
-    """(offset, length, record id) of the records of a file; the id is None where a record does not parse."""
-    size, at = len(content) - content.endswith(b"\n" if not content.endswith(END) else b"\0"), 0
-    while at < size:
-        head = content.find(END, at, min(size, at + HEADER_BYTES)) if content.startswith(BEGIN, at) else -1
-        found = _LENGTH.search(content, at, head + 2) if head >= 0 else None
-        name = _PAGE.search(content, at, head + 2) if head >= 0 else None
-        end = head + 2 * len(END) + int(found[1]) if found else size + 1
-        if name and end <= size and content.startswith(END, end - len(END)) and (end == size or _begins(content, end, size)):
-            yield at, end - at, name[1]
-        else:
-            end = content.find(BEGIN, at + 1, size)
-            end = size if end < 0 else end
-            yield at, end - at, None
-        at = end
+def _member_at(content: memoryview, at: int, size: int) -> tuple[int, bytes] | None:
+    """(where the member ends, what it holds), or None if there is no whole one here."""
+    z, out, place = zlib.decompressobj(GZIP), [], at
+    try:
+        while not z.eof and place < size:
+            out.append(z.decompress(content[place : min(place + CHUNK, size)]))
+            place = min(place + CHUNK, size)
+    except zlib.error:
+        return None
+    return (place - len(z.unused_data), b"".join(out)) if z.eof else None
 
 
-def _begins(content: bytes, at: int, size: int) -> bool:
-    """Whether a record begins here, if need be one whose first line is damaged: it has a length before the next record."""
-    if content.startswith(BEGIN, at):
-        return True
-    after = content.find(BEGIN, at, size)
-    return _LENGTH.search(content, at, min(size if after < 0 else after, at + HEADER_BYTES)) is not None
+def _record_id(record: bytes) -> bytes | None:
+    """The id of a record, or None where the bytes are none."""
+    head = record.find(END) if record.startswith(BEGIN) else -1
+    length, page = (p.search(record, 0, head + 2) for p in (_LENGTH, _PAGE)) if head >= 0 else (None, None)
+    return page[1] if length and page and len(record) == head + 2 * len(END) + int(length[1]) and record.endswith(END) else None
+
+
+def _starts(content: memoryview, at: int, size: int) -> bool:
+    try:
+        return zlib.decompressobj(GZIP).decompress(content[at : min(at + 512, size)], len(BEGIN)) == BEGIN
+    except zlib.error:
+        return False
+
+
+def walk(content: bytes) -> Iterator[tuple[int, int, bytes | None, bytes | None]]:
+    """(offset, length, record id, record) of what a file stores; the last two are None where it is damaged."""
+    size, at, view = len(content) - content.endswith(b"\n"), 0, memoryview(content)  # the sink's line end
+    while at < size:
+        found = _member_at(view, at, size)
+        name = _record_id(found[1]) if found else None
+        if name is not None:
+            yield at, found[0] - at, name, found[1]
+            at = found[0]
+            continue
+        end = content.find(MEMBER, at + 1, size)
+        while end >= 0 and not _starts(view, end, size):
+            end = content.find(MEMBER, end + 1, size)
+        end = size if end < 0 else end
+        yield at, end - at, None, None
+        at = end
 
 
-LEAVES = "file_id long, idx long, offset long, length long, record_id string, content string"
+LEAVES = "file_id long, idx long, offset long, length long, record_id string, content string, size long, record_sha256 string"
 
 
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            file = int(re.search(r"part-(\d+)", path)[1])
-            rows = [(file, i, at, n, None if name is None else name.decode(), hashlib.sha256(memoryview(content)[at : at + n]).hexdigest()) for i, (at, n, name) in enumerate(walk(content))]
+            file, rows = int(re.search(r"part-(\d+)", path)[1]), []
+            for i, (at, n, name, record) in enumerate(walk(content)):
+                whole = (None, None, None) if name is None else (name.decode(), len(record), hashlib.sha256(record).hexdigest())
+                rows.append((file, i, at, n, whole[0], hashlib.sha256(memoryview(content)[at : at + n]).hexdigest(), *whole[1:]))
             if rows:
-                kinds = [pa.int64()] * 4 + [pa.string()] * 2
+                kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in LEAVES.split(", ")])
 
 
 def read_replica(spark: SparkSession, path: str) -> DataFrame:
     """The leaves of a replica's files: place, record id and content hash of each record, and the leaf's hash; written once."""
+    if not _io.exists(spark, path):  # no record was written
+        return spark.createDataFrame([], f"{LEAVES}, hash string")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     leaf = files.mapInArrow(_leaves, LEAVES)
     return _io.stored(leaf.withColumn("hash", F.sha2(F.concat_ws("|", F.lit("record"), "offset", "length", "content").cast("binary"), 256)), "warc-leaves")
@@ -168,7 +206,7 @@ def _paired(left: DataFrame, right: DataFrame, by: list[str]) -> tuple[DataFrame
 
 
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
-    """file_id, idx, offset, length, record_id, content and state ('corrupt', 'missing' or 'added' in second) of records that are not the
+    """file_id, idx, offset, length (as stored), record_id, content and state ('corrupt', 'missing' or 'added' in second) of records that are not the
     same in two replicas' leaves; of added ones the place is that in second."""
     suspects = differing_leaves(first, second)
     left, right = (_io.stored(x.drop("hash").join(suspects, ["file_id", "idx"], "left_semi"), "suspects") for x in (first, second))
@@ -182,29 +220,26 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def in_one_line(leaf: DataFrame) -> DataFrame:
-    """Leaves with record_index and start: a record's number and place in all files one after the other.  One row a file meets in the window."""
-    files = leaf.groupBy("file_id").agg(F.count("*").alias("n"), F.sum("length").alias("size"))
-    w = Window.orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)
-    base = files.select("file_id", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n_before"), F.coalesce(F.sum("size").over(w), F.lit(0)).alias("before"))
-    return leaf.join(base, "file_id").withColumn("record_index", F.col("n_before") + F.col("idx")).withColumn("start", F.col("before") + F.col("offset"))
+    """Leaves with record_index and start: a record's number and place among all records, unpacked, one after the other.  One row a file
+    meets in the window over files."""
+    files = leaf.groupBy("file_id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    w, mine = (x.rowsBetween(Window.unboundedPreceding, -1) for x in (Window.orderBy("file_id"), Window.partitionBy("file_id").orderBy("idx")))
+    base = files.select("file_id", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n_before"), F.coalesce(F.sum("bytes").over(w), F.lit(0)).alias("before"))
+    inside = leaf.withColumn("inside", F.coalesce(F.sum("size").over(mine), F.lit(0)))
+    return inside.join(base, "file_id").withColumn("record_index", F.col("n_before") + F.col("idx")).withColumn("start", F.col("before") + F.col("inside"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes and reads two replicas, in the second of which one record in DAMAGE has a byte changed, and audits them; one row a page."""
-    good = records(_io.table(spark, sf_dir, "pages"))
-    middle = (F.octet_length("record") / 2).cast("int") + 1
-    bad = good.withColumn("stored", F.when(F.col("page_id") % DAMAGE == DAMAGE_AT, F.overlay("record", F.lit(bytearray(1)), middle, F.lit(1))).otherwise(F.col("record")))
-    leaves = []
-    for recs, stored in ((good, "record"), (bad, "stored")):
-        path = _io.new_path(spark, "warc")
-        write_replica(recs, path, stored)
-        leaves.append(read_replica(spark, path))
-        _io.delete_path(spark, path)
-        _io.release(spark)
+    """Writes and reads two replicas, in the second of which one stored record in DAMAGE has a byte changed, and audits them; one row a page."""
+    path = _io.new_path(spark, "warc")
+    folders = write_replicas(records(_io.table(spark, sf_dir, "pages")), path, {"first": None, "second": F.col("page_id") % DAMAGE == DAMAGE_AT})
+    _io.release(spark)
+    leaves = [read_replica(spark, f) for f in folders.values()]
+    _io.delete_path(spark, path)
     found = audit(*leaves)
-    state = in_one_line(leaves[0]).join(found.select("file_id", "idx", "state"), ["file_id", "idx"], "left")
+    state = in_one_line(leaves[0]).join(found.select("file_id", "idx", "state").where("state <> 'added'"), ["file_id", "idx"], "left")
     page = F.when(F.col("record_id") != "none", F.col("record_id").cast("long"))
-    return state.select(page.alias("page_id"), "record_index", F.col("start").alias("offset"), "length", F.col("content").alias("record_sha256"), F.coalesce("state", F.lit("ok")).alias("state"))
+    return state.select(page.alias("page_id"), "record_index", F.col("start").alias("offset"), F.col("size").alias("length"), "record_sha256", F.coalesce("state", F.lit("ok")).alias("state"))
 
 
 SQL = f"""

@@ -330,13 +330,13 @@ def replicas(spark, sf, tmp_path_factory):
     """Records of the pages in several files, and a function that reads a replica in which some are changed."""
     d = str(tmp_path_factory.mktemp("warc"))
     pages = _io.table(spark, sf, "pages").unionByName(_io.table(spark, sf, "pages").where("page_id < 2"))
-    warc_audit.write_replica(warc_audit.records(pages), f"{d}/first")
-    names = sorted(n for n in os.listdir(f"{d}/first") if n.startswith("part-"))
+    path = warc_audit.write_replicas(warc_audit.records(pages), f"{d}/written", {"first": None})["first"]
+    names = sorted(n for n in os.listdir(path) if n.startswith("part-"))
 
     def changed(name, change):
         os.makedirs(f"{d}/{name}", exist_ok=True)
         for k, n in enumerate(names):
-            with open(f"{d}/first/{n}", "rb") as f:
+            with open(f"{path}/{n}", "rb") as f:
                 raw = f.read()
             raw = change(k, raw)
             if raw is not None:
@@ -344,7 +344,7 @@ def replicas(spark, sf, tmp_path_factory):
                     f.write(raw)
         return warc_audit.read_replica(spark, f"{d}/{name}")
 
-    return warc_audit.read_replica(spark, f"{d}/first"), changed, names
+    return warc_audit.read_replica(spark, path), changed, names
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -366,7 +366,7 @@ def test_warc_records_come_back(spark, sf, replicas):
         html = (p.html or "").encode()
         rec = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{p.page_id}>\r\nWARC-Target-URI: {p.url}\r\nContent-Type: text/html\r\nContent-Length: {len(html)}\r\n\r\n".encode() + html + b"\r\n\r\n"
         mine = [r for r in rows if r.record_id == str(p.page_id)]
-        assert len(mine) == 1 + (p.page_id < 2) and all((r.length, r.content) == (len(rec), hashlib.sha256(rec).hexdigest()) for r in mine)
+        assert len(mine) == 1 + (p.page_id < 2) and all((r.size, r.record_sha256, r.content) == (len(rec), hashlib.sha256(rec).hexdigest(), hashlib.sha256(warc_audit.member(rec)).hexdigest()) for r in mine)
 
 
 def test_warc_audit_finds_a_record_missing_in_the_middle(replicas):
@@ -377,7 +377,7 @@ def test_warc_audit_finds_a_record_missing_in_the_middle(replicas):
         if k != 1:
             return raw
         spots = list(warc_audit.walk(raw))
-        spot["n"], (at, n, _) = len(spots), spots[1]
+        spot["n"], (at, n, *_) = len(spots), spots[1]
         return raw[:at] + raw[at + n :]
 
     assert warc_states(first, changed("cut", cut)) == [(1, 1, "missing")] and spot["n"] > 2
@@ -394,17 +394,15 @@ def test_warc_audit_finds_added_and_lost_files(replicas):
 
 @pytest.mark.parametrize("place", range(12))
 def test_warc_audit_finds_any_damaged_byte(replicas, place):
-    """Bytes of the header, the length, the body and the end of a record; records around it stay."""
+    """Bytes of a stored record's head, body and end; records around it stay."""
     first, changed, _ = replicas
 
     def harm(k, raw):
         if k != 1:
             return raw
-        at, n, _ = list(warc_audit.walk(raw))[1]
-        length = raw.index(b"Content-Length: ", at) + 16
-        spots = [at, at + 5, at + 9, raw.index(b"page:", at) + 5, length, length + 1, length + 2, length + 6, at + n - 1, at + n - 4, at + n // 2, at + n - 20]
-        raw = bytearray(raw)
-        raw[spots[place]] = 0x37 if raw[spots[place]] != 0x37 else 0x38
+        at, n, *_ = list(warc_audit.walk(raw))[1]
+        raw, spot = bytearray(raw), at + [0, 1, 2, 3, 4, 9, 10, n // 3, n // 2, n - 9, n - 5, n - 1][place]
+        raw[spot] ^= 0x21
         return bytes(raw)
 
     assert warc_states(first, changed(f"harm{place}", harm)) == [(1, 1, "corrupt")]
