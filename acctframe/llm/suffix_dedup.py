@@ -1,17 +1,17 @@
 """Removal of repeated byte strings with per-shard suffix arrays.
 
-A byte goes if a string of LENGTH bytes that covers it also starts anywhere else.
+A byte goes if a string of `length` bytes that covers it also starts anywhere else: LENGTH in the query, STAGE_LENGTH in the pipeline.
 
-1. Each window of LENGTH bytes is named by the smallest hash among its K-byte strings (the leftmost on a tie), which depends on its bytes
+1. Each window of so many bytes is named by the smallest hash among its K-byte strings (the leftmost on a tie), which depends on its bytes
    only; neighbouring windows with the same one form a segment of a document.  Equal windows therefore lie in
    segments of the same name, at the same distance from it.
 2. Segments with equal bytes (by two 64-bit hashes, the name and one of all bytes) repeat as a whole.  One of each kind goes on if other kinds share its name.
 3. Those are dealt to shards by name.  A shard sorts all suffixes of its segments by Larsson-Sadakane refinement, finds
-   common prefixes by Kasai's recurrence, and marks windows that share LENGTH bytes with a neighbour.
+   common prefixes by Kasai's recurrence, and marks windows that share that many bytes with a neighbour.
 4. A name with more than SHARD_KINDS kinds is dealt over several shards; each also gives the sorted digests of its windows,
    cut in ranges, and the shards' lists of a range are merged by binary search.
 
-Defined cases: a null or empty text, or one under LENGTH bytes, loses nothing; repeated rows are copies of each other, and
+Defined cases: a null or empty text, or one that is shorter, loses nothing; repeated rows are copies of each other, and
 both go; rows are told apart by doc_id (null included) and content; an empty table gives no row; other columns
 are not read, and may have any name.  Texts are processed whole.
 """
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from acctframe.llm import _io, _text
 
 LENGTH, K = 400, 32
+#: In the pipeline passages of over 50 words go; 51 words of four letters, with their spaces, are this long.
+STAGE_LENGTH = 51 * 5
 #: Beside a caller's own columns the byte ranges go by this name, or one that is free.
 RANGES = "__repeated_ranges"
 SHARD_KINDS = 2048
@@ -41,23 +43,23 @@ U64 = np.uint64
 NAME_BLOCK = 1 << 20
 
 
-def window_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first windows, window counts, names) of the segments of a text of LENGTH bytes or more."""
+def window_names(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first windows, window counts, names) of the segments of a text of `length` bytes or more."""
     parts = []
-    for at in range(0, len(data) - LENGTH + 1, NAME_BLOCK):
-        first, count, name = _window_names(data[at : at + NAME_BLOCK + LENGTH - 1])
+    for at in range(0, len(data) - length + 1, NAME_BLOCK):
+        first, count, name = _window_names(data[at : at + NAME_BLOCK + length - 1], length)
         parts.append((first + at, count, name))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _window_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _window_names(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h, width = data.astype(U64) + U64(1), 1
     while width < K:
         h = h[:-width] * U64(pow(_text.BASE, width, 1 << 64)) + h[width:]
         width *= 2
     h = _text.mix64(h)
     least = (h & U64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=U64)
-    span, width = LENGTH - K + 1, 1
+    span, width = length - K + 1, 1
     while 2 * width <= span:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
@@ -70,17 +72,17 @@ def _window_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 SEGMENTS = "slice long, name long, kind long, windows long, doc_id long, th long, first long, more array<struct<doc_id:long,th:long,first:long>>"
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """One row per kind of segment in a slice of documents: its first occurrence there, and the others as a list."""
     from pyspark import TaskContext
 
     at = TaskContext.get().partitionId() << 32
     for rows, data, offs in _text.text_slices(batches):
         raw, parts = data.tobytes(), []
-        for i in np.flatnonzero(np.diff(offs) >= LENGTH).tolist():
+        for i in np.flatnonzero(np.diff(offs) >= length).tolist():
             base = int(offs[i])
-            first, count, name = window_names(data[base : offs[i + 1]])
-            kind = np.array([xxhash.xxh3_64_intdigest(raw[base + a : base + a + n + LENGTH - 1]) for a, n in zip(first.tolist(), count.tolist(), strict=True)], U64)
+            first, count, name = window_names(data[base : offs[i + 1]], length)
+            kind = np.array([xxhash.xxh3_64_intdigest(raw[base + a : base + a + n + length - 1]) for a, n in zip(first.tolist(), count.tolist(), strict=True)], U64)
             parts.append((name, kind, count, first, np.full(len(first), i)))
         if parts:
             name, kind, count, first, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -97,13 +99,13 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at += 1
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Byte ranges of each document from the repeated segments of its slice."""
     for batch in batches:
         for found in batch.column("found").to_pylist():
             ranges: dict[tuple, list[dict]] = {}
             for f in found:
-                size = f["windows"] + LENGTH - 1
+                size = f["windows"] + length - 1
                 for o in (f, *f["more"]):
                     ranges.setdefault((o["doc_id"], o["th"]), []).append({"start": o["first"], "end": o["first"] + size})
             merged = [[{"start": a, "end": b} for a, b in merged_ranges(r)] for r in ranges.values()]
@@ -113,14 +115,14 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RANGE_LIST = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted segments of each text."""
     for rows, data, offs in _text.text_slices(batches):
         raw, out = data.tobytes(), []
         for i, (doc_id, th, wanted) in enumerate(zip(rows.column("doc_id").to_pylist(), rows.column("th").to_pylist(), rows.column("wanted").to_pylist(), strict=True)):
             for w in wanted:
                 at = int(offs[i]) + w["first"]
-                out.append((w["shard"], w["name"], w["split"], doc_id, th, w["first"], w["windows"], w["n"], raw[at : at + w["windows"] + LENGTH - 1]))
+                out.append((w["shard"], w["name"], w["split"], doc_id, th, w["first"], w["windows"], w["n"], raw[at : at + w["windows"] + length - 1]))
         if out:
             cols = list(zip(*out, strict=True))
             kinds = [pa.int64()] * 8 + [pa.binary()]
@@ -203,35 +205,35 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = LENGTH) ->
     return out[order]
 
 
-def repeated(segments: list[bytes], windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated(segments: list[bytes], windows: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, place, class) of each window of the segments in order; windows with equal bytes have the same class."""
     text = np.frombuffer(b"".join(segments), np.uint8)
     size = np.fromiter(map(len, segments), np.int64, len(segments))
     base = np.cumsum(size) - size
     order = suffix_array(text)
-    shared = common_prefixes(text, order)
+    shared = common_prefixes(text, order, length)
     owner = np.repeat(np.arange(len(segments)), size)
     place = np.arange(len(text)) - base[owner]
     valid = np.flatnonzero((place < windows[owner])[order])
     low = np.minimum.reduceat(shared, np.append(valid[:-1] + 1, valid[-1:])) if len(valid) > 1 else np.zeros(0, np.int64)
     # entry j is the least common prefix from just after valid window j up to window j + 1
-    cls = np.concatenate(([0], np.cumsum(low[: len(valid) - 1] < LENGTH))) if len(valid) else np.zeros(0, np.int64)
+    cls = np.concatenate(([0], np.cumsum(low[: len(valid) - 1] < length))) if len(valid) else np.zeros(0, np.int64)
     at = order[valid]
     return owner[at], place[at], cls
 
 
-def _runs(places: np.ndarray) -> list[tuple[int, int]]:
+def _runs(places: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Byte ranges that windows starting at the sorted places cover."""
     if not len(places):
         return []
     cut = np.flatnonzero(np.diff(places) > 1)
-    return list(zip(places[np.concatenate(([0], cut + 1))].tolist(), (places[np.concatenate((cut, [len(places) - 1]))] + LENGTH).tolist(), strict=True))
+    return list(zip(places[np.concatenate(([0], cut + 1))].tolist(), (places[np.concatenate((cut, [len(places) - 1]))] + length).tolist(), strict=True))
 
 
-def _shard(rows: list[dict]) -> tuple[list[tuple], list[tuple]]:
+def _shard(rows: list[dict], length: int) -> tuple[list[tuple], list[tuple]]:
     """Byte ranges that go in segments of a shard, and digest lists of windows whose name is dealt over several shards."""
     windows = np.array([r["windows"] for r in rows])
-    owner, place, cls = repeated([r["bytes"] for r in rows], windows)
+    owner, place, cls = repeated([r["bytes"] for r in rows], windows, length)
     twice = np.bincount(cls)[cls] > 1
     spans, lists = [], []
     by = np.lexsort((place, owner))
@@ -239,42 +241,42 @@ def _shard(rows: list[dict]) -> tuple[list[tuple], list[tuple]]:
     for s, r in enumerate(rows):
         mine = by[cuts[s] : cuts[s + 1]]
         if r["n"] == 1:
-            spans += [(r["doc_id"], r["th"], r["first"] + a, r["first"] + b) for a, b in _runs(place[mine][twice[mine]])]
+            spans += [(r["doc_id"], r["th"], r["first"] + a, r["first"] + b) for a, b in _runs(place[mine][twice[mine]], length)]
         if r["split"] > 1:
-            lists.append((r["name"], r["split"], r["shard"], r["doc_id"], r["th"], r["first"], r["n"], place[mine], digests(r["bytes"])[place[mine]]))
+            lists.append((r["name"], r["split"], r["shard"], r["doc_id"], r["th"], r["first"], r["n"], place[mine], digests(r["bytes"], length)[place[mine]]))
     return spans, lists
 
 
-def digests(raw: bytes) -> np.ndarray:
-    """64-bit digest of each window of LENGTH bytes."""
+def digests(raw: bytes, length: int = LENGTH) -> np.ndarray:
+    """64-bit digest of each window of `length` bytes."""
     data = np.frombuffer(raw, np.uint8)
-    n = len(data) - LENGTH + 1
+    n = len(data) - length + 1
     out = np.zeros(n, U64)
     for base in (_text.BASE, _text.MIX1):
         inv = pow(base, -1, 1 << 64)
         total = np.concatenate((np.zeros(1, U64), np.cumsum((data.astype(U64) + U64(1)) * _text.powers(base, len(data)))))
-        out = _text.mix64(out + (total[LENGTH:] - total[:n]) * _text.powers(inv, n))
+        out = _text.mix64(out + (total[length:] - total[:n]) * _text.powers(inv, n))
     return out
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Works off shards that arrive one after the other (rows sorted by shard)."""
     held: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
             if held and row["shard"] != held[0]["shard"]:
-                yield from _done(held)
+                yield from _done(held, length)
                 held = []
             held.append(row)
     if held:
-        yield from _done(held)
+        yield from _done(held, length)
 
 
 SHARD_OUT = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("name", pa.int64()), ("range", pa.int64()), ("shard", pa.int64()), ("single", pa.bool_()), ("digests", pa.binary()), ("places", pa.binary())])
 
 
-def _done(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    spans, lists = _shard(rows)
+def _done(rows: list[dict], length: int) -> Iterator[pa.RecordBatch]:
+    spans, lists = _shard(rows, length)
     out = [(*s, None, None, None, None, None, None) for s in spans]
     for name, split, shard, doc_id, th, first, n, place, digest in lists:
         order = np.argsort(digest)
@@ -287,7 +289,7 @@ def _done(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SHARD_OUT, strict=True)], schema=SHARD_OUT)
 
 
-def _merge(key, lists):
+def _merge(key, lists, length: int):
     """Windows of one name and digest range that several shards hold: each list is searched in the sorted list of shared digests."""
     import pandas as pd
 
@@ -298,22 +300,22 @@ def _merge(key, lists):
     if len(shared):
         for r in lists[lists["single"]].itertuples(index=False):
             hit = shared[np.minimum(np.searchsorted(shared, r.d), len(shared) - 1)] == r.d
-            out += [(r.doc_id, r.th, a, b) for a, b in _runs(np.sort(r.p[hit]))]
+            out += [(r.doc_id, r.th, a, b) for a, b in _runs(np.sort(r.p[hit]), length)]
     return pd.DataFrame(out, columns=["doc_id", "th", "start", "end"]).astype({"doc_id": "Int64", "th": "Int64", "start": "int64", "end": "int64"})
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, th (hash of the text), ranges: byte ranges (start, end) that go; they may overlap."""
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    segments = _io.stored(keyed.mapInArrow(_segments, SEGMENTS), "segments")
+    segments = _io.stored(keyed.mapInArrow(partial(_segments, length=length), SEGMENTS), "segments")
     one = [F.first(c).alias(c) for c in ("doc_id", "th", "first", "windows")]  # all of one row
     counted = segments.select("name", "kind", "doc_id", "th", "first", "windows", (F.size("more") + 1).alias("n"))
     kinds = _io.stored(counted.groupBy("name", "kind").agg(F.sum("n").alias("n"), *one), "kinds")
     _io.release(spark)
     found = segments.join(kinds.where("n > 1").select("name", "kind"), ["name", "kind"], "left_semi").select("slice", F.struct("doc_id", "th", "first", "windows", "more").alias("f"))
     whole = found.groupBy("slice").agg(F.collect_list("f").alias("found"))  # no more than the slice's own segments
-    whole = _io.stored(whole.select("found").mapInArrow(_whole, "doc_id long, th long, ranges array<struct<start:long,end:long>>"), "whole")
+    whole = _io.stored(whole.select("found").mapInArrow(partial(_whole, length=length), "doc_id long, th long, ranges array<struct<start:long,end:long>>"), "whole")
     _io.drop_stored(segments)
     _io.release(spark)
     names = kinds.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1")
@@ -325,13 +327,13 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     wanted = wanted.select("doc_id", "th", F.struct(spot.alias("shard"), "name", split.cast("long").alias("split"), "first", "windows", "n").alias("w"))
     per_doc = wanted.groupBy(F.col("doc_id").alias("id"), F.col("th").alias("th2")).agg(F.collect_list("w").alias("wanted"))
     texts = keyed.join(per_doc, keyed.doc_id.eqNullSafe(per_doc.id) & (keyed.th == per_doc.th2)).select("doc_id", "th", "text", "wanted")
-    cut = texts.mapInArrow(_cut, "shard long, name long, split long, doc_id long, th long, first long, windows long, n long, bytes binary")
-    made = cut.repartition(max(1, min(shards, 1 << 15)), "shard").sortWithinPartitions("shard", "name").mapInArrow(_shards, "doc_id long, th long, start long, end long, name long, range long, shard long, single boolean, digests binary, places binary")
+    cut = texts.mapInArrow(partial(_cut, length=length), "shard long, name long, split long, doc_id long, th long, first long, windows long, n long, bytes binary")
+    made = cut.repartition(max(1, min(shards, 1 << 15)), "shard").sortWithinPartitions("shard", "name").mapInArrow(partial(_shards, length=length), "doc_id long, th long, start long, end long, name long, range long, shard long, single boolean, digests binary, places binary")
     made = _io.stored(made, "shards")
     _io.drop_stored(kinds)
     _io.release(spark)
     ranges = made.where("name is null").select("doc_id", "th", "start", "end")
-    merged = made.where("name is not null").select("doc_id", "th", "name", "range", "shard", "single", "digests", "places").groupBy("name", "range").applyInPandas(_merge, "doc_id long, th long, start long, end long")
+    merged = made.where("name is not null").select("doc_id", "th", "name", "range", "shard", "single", "digests", "places").groupBy("name", "range").applyInPandas(lambda key, lists: _merge(key, lists, length), "doc_id long, th long, start long, end long")
     ranges = ranges.unionByName(merged).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     out = _io.stored(whole.unionByName(ranges).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
     _io.drop_stored(whole)
@@ -380,10 +382,10 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else rows.column(n) for n in names], names=names)
 
 
-def with_ranges(docs: DataFrame) -> DataFrame:
+def with_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with one more column, the byte ranges that go (null if none)."""
     name, r_id, r_th = (_io.fresh(docs, n) for n in (RANGES, "__r_id", "__r_th"))
-    ranges = repeated_ranges(docs).select(F.col("doc_id").alias(r_id), F.col("th").alias(r_th), F.col("ranges").alias(name))
+    ranges = repeated_ranges(docs, length).select(F.col("doc_id").alias(r_id), F.col("th").alias(r_th), F.col("ranges").alias(name))
     mine = docs.doc_id.cast("long").eqNullSafe(ranges[r_id]) & (F.xxhash64(docs.text.cast("string")) == ranges[r_th])
     return docs.join(ranges, mine, "left").drop(r_id, r_th)
 
@@ -394,8 +396,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strip_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents, without repeated strings (nor halves of characters at their ends); n_chars follows the text."""
-    out = with_ranges(docs).mapInArrow(_strip, docs.schema)
+    """Pipeline stage: all documents, without strings of STAGE_LENGTH bytes that repeat (nor halves of characters at their ends); n_chars
+    follows the text."""
+    out = with_ranges(docs, STAGE_LENGTH).mapInArrow(_strip, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
     return out

@@ -122,15 +122,15 @@ def components(docs):
     return {k: root(k) for k in docs}
 
 
-def without_repeats(docs):
+def without_repeats(docs, n):
     raw = {k: t.encode() for k, t in docs.items()}
-    count = collections.Counter(b[p : p + 400] for b in raw.values() for p in range(len(b) - 399))
+    count = collections.Counter(b[p : p + n] for b in raw.values() for p in range(len(b) - n + 1))
     out = {}
     for k, b in raw.items():
         gone = np.zeros(len(b), bool)
-        for p in range(len(b) - 399):
-            if count[b[p : p + 400]] > 1:
-                gone[p : p + 400] = True
+        for p in range(len(b) - n + 1):
+            if count[b[p : p + n]] > 1:
+                gone[p : p + n] = True
         out[k] = bytes(np.frombuffer(b, np.uint8)[~gone]).decode("utf-8", "ignore")
     return out
 
@@ -162,7 +162,7 @@ def test_every_stage_of_the_pipeline(spark, sf):
         elif name == "ngram_jaccard_join":
             text = {k: text[k] for k, c in components(text).items() if c == k}
         elif name == "suffix_array_dedup":
-            text = without_repeats(text)
+            text = without_repeats(text, suffix_dedup.STAGE_LENGTH)
         else:
             text = {k: t for k, t in text.items() if not contaminated(t, windows)}
         got = {r.doc_id: r for r in now.collect()}
