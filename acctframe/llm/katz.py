@@ -100,15 +100,71 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(data: np.ndarray, offs: np.ndarray, vocabulary: Vocabulary, buckets: int):
-    """Sorted pairs: (bucket, history, word, document), and tokens' codes and documents."""
+    """Sorted pairs: (bucket, history, word, document), and tokens' codes and documents.
+
+    Words are looked up once each; pairs are sorted as one number of bucket and the words' ranks in the slice."""
     words, doc = tokens(data, offs)
-    code = vocabulary.codes(words)
-    before = np.concatenate((vocabulary.codes(np.array([END])), code[:-1]))
+    distinct, which = np.unique(np.append(words, END), return_inverse=True)
+    codes = vocabulary.codes(distinct)
+    by = np.argsort(codes)
+    rank = np.empty(len(codes), U64)
+    rank[by] = np.arange(len(codes), dtype=U64)
+    which = rank[which]
+    w, h = which[:-1], np.concatenate((which[-1:], which[:-2]))
+    codes = codes[by]
+    code, before = codes[w], codes[h]
     bucket = bucket_of(before, code, buckets)
-    order = np.lexsort((code, before, bucket))
+    bits = U64(max(1, len(codes).bit_length()))
+    if buckets.bit_length() + 2 * int(bits) <= 64:
+        order = np.argsort(((bucket.astype(U64) << bits | h) << bits) | w)
+    else:
+        order = np.lexsort((w, h, bucket))
     return bucket[order], before[order], code[order], doc[order], code, doc
 
 
+#: Pairs of numbered words are one number each.
+PAIR_BITS = U64(32)
+
+
+def _numbered(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (h < TOP) & (w < TOP)
+
+
+def _in_order(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """An order in which equal pairs stand together, those of numbered words first and by history and word."""
+    both = _numbered(h, w)
+    first, rest = np.flatnonzero(both), np.flatnonzero(~both)
+    first = first[np.argsort(h[first] << PAIR_BITS | w[first], kind="stable")]  # runs that are sorted already are merged
+    return np.concatenate((first, rest[np.lexsort((w[rest], h[rest]))]))
+
+
+class Counts:
+    """The counts of a bucket's pairs, as _in_order has them."""
+
+    def __init__(self, h: np.ndarray, w: np.ndarray, c: np.ndarray):
+        n = int(_numbered(h, w).sum())
+        self.numbered, self.numbered_counts = h[:n] << PAIR_BITS | w[:n], c[:n].astype(np.int64)
+        keys = _pair_key(h[n:], w[n:])
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], c[n:][order].astype(np.int64)
+
+    @staticmethod
+    def _find(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(len(wanted), np.int64)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, counts[at], 0)
+
+    def of(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        both, out = _numbered(h, w), np.zeros(len(h), np.int64)
+        out[both] = self._find(self.numbered, self.numbered_counts, h[both] << PAIR_BITS | w[both])
+        out[~both] = self._find(self.keys, self.counts, _pair_key(h[~both], w[~both]))
+        return out
+
+
+NO_COUNTS = np.zeros(0, U64)
+
+
 def _firsts(*cols: np.ndarray) -> np.ndarray:
     new = np.zeros(len(cols[0]), bool)
     new[:1] = True
@@ -146,7 +202,7 @@ def _count_pairs(batches: Iterator[pa.RecordBatch], vocabulary, p1) -> Iterator[
         parts = [unpack(b) for b in blocks]
         h, w, n = (np.concatenate([undelta(x[0]) for x in parts]), np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts]))
         del parts
-        order = np.lexsort((w, h))
+        order = _in_order(h, w)
         h, w, n = h[order], w[order], n[order].astype(np.int64)
         del order
         first = _firsts(h, w)
@@ -321,18 +377,15 @@ def _left_over(at: int, cols: list[tuple[np.ndarray, np.ndarray, str]]) -> pa.Re
 
 def _score_pairs(batches: Iterator[pa.RecordBatch], scorer) -> Iterator[pa.RecordBatch]:
     """Scores pairs against their bucket's counts, which come first among its rows."""
-    s, now, keys, counts = scorer.value, None, np.zeros(0, U64), np.zeros(0, np.int64)
-    none = (None,) * 4
+    s, now, counts, none = scorer.value, None, None, (None,) * 4
     for batch in batches:
         for row in batch.to_pylist():
             if row["bucket"] != now:
-                now, keys, counts = row["bucket"], np.zeros(0, U64), np.zeros(0, np.int64)
+                now, counts = row["bucket"], Counts(NO_COUNTS, NO_COUNTS, NO_COUNTS)
             at = row["slice"]
             if row["kind"] == "counts":
                 h, w, c = unpack(row["block"])
-                keys = _pair_key(undelta(h), w)
-                order = np.argsort(keys)
-                keys, counts = keys[order], c[order].astype(np.int64)
+                counts = Counts(undelta(h), w, c)
             elif row["kind"] == "docs":
                 yield _rows(SCORED, [("docs", at, None, None, None, None, None, None, row["ids"], row["n"], row["known"], row["base"], None)])
             elif row["kind"] == "rare":
@@ -342,11 +395,7 @@ def _score_pairs(batches: Iterator[pa.RecordBatch], scorer) -> Iterator[pa.Recor
                 h, w, many, doc = unpack(row["block"])
                 h = undelta(h)
                 many, doc = many.astype(np.int64), doc.astype(np.int64)
-                c = np.zeros(len(h), np.int64)
-                if len(keys):
-                    key = _pair_key(h, w)
-                    spot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    c = np.where(keys[spot] == key, counts[spot], 0)
+                c = counts.of(h, w)
                 seen, h_in, w_in = c > 0, h < TOP, w < TOP
                 value = np.zeros(len(h))
                 value[seen] = s.gain[np.minimum(c[seen], CUT + 1)] + np.log10(c[seen])
