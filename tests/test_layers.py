@@ -231,3 +231,53 @@ def test_filters_are_ordered_by_selectivity():
     d, m, s = P.Discriminator(b"12345678"), P.Memcmp(0, b"a"), P.DataSize(1)
     assert planner.by_selectivity([s, m, d]) == [d, m, s]
     assert [planner.column_of(f) for f in (s, m, d, P.TokenField("mint", b""))] == ["data_len", "data[0:1]", "discriminator", "mint"]
+
+
+def plain_blake3(text):
+    """The hash by its recursive definition, on Python integers."""
+    from acctframe.functions import blake3 as B
+
+    mask, iv = (1 << 32) - 1, [int(x) for x in B.IV]
+
+    def compress(cv, block, counter, size, flags):
+        m = [int.from_bytes(block[4 * i : 4 * i + 4], "little") for i in range(16)]
+        v = [*cv, *iv[:4], counter & mask, counter >> 32, size, flags]
+        for _ in range(7):
+            for k, (a, b, c, d) in enumerate(B.MIXED):
+                for x, r1, r2 in ((m[2 * k], 16, 12), (m[2 * k + 1], 8, 7)):
+                    v[a] = (v[a] + v[b] + x) & mask
+                    v[d] ^= v[a]
+                    v[d] = (v[d] >> r1 | v[d] << 32 - r1) & mask
+                    v[c] = (v[c] + v[d]) & mask
+                    v[b] ^= v[c]
+                    v[b] = (v[b] >> r2 | v[b] << 32 - r2) & mask
+            m = [m[p] for p in B.PERMUTED]
+        return [v[i] ^ v[i + 8] for i in range(8)]
+
+    def raw(cv):
+        return b"".join(x.to_bytes(4, "little") for x in cv)
+
+    def node(t, counter, root):
+        if len(t) <= 1024:
+            cv, blocks = iv, [t[i : i + 64] for i in range(0, len(t), 64)] or [b""]
+            for i, b in enumerate(blocks):
+                end = i == len(blocks) - 1
+                cv = compress(cv, b.ljust(64, b"\0"), counter, len(b), (i == 0) | 2 * end | 8 * (end and root))
+            return cv
+        left = 1024
+        while 2 * left < len(t):
+            left *= 2
+        return compress(iv, raw(node(t[:left], counter, False)) + raw(node(t[left:], counter + left // 1024, False)), 0, 64, 4 | 8 * root)
+
+    return raw(node(text, 0, True))
+
+
+def test_blake3(spark):
+    from acctframe.functions import blake3 as B
+
+    assert [d.hex() for d in B.digests([b"", b"abc"])] == ["af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262", "6437b3ac38465133ffb63b75273a8db548c558465d79db03fd359c6cd5bd9d85"]
+    texts = [bytes((i * 7 + n) % 251 for i in range(n)) for n in (1, 63, 64, 65, 1023, 1024, 1025, 2048, 2049, 3073, 5000, 8193)]
+    assert B.digests(texts) == [plain_blake3(t) for t in texts]
+    rows = spark.createDataFrame([(0, bytearray(b"ab"), bytearray(b"c")), (1, None, None)], "i int, pubkey binary, data binary")
+    got = rows.select("i", B.account_blake3().alias("h")).orderBy("i").collect()
+    assert bytes(got[0].h) == B.digests([b"abc"])[0] and got[1].h is None
