@@ -4,13 +4,12 @@ A document is the set of its SHINGLE-word shingles (lower-cased, split at white
 are equal form one kind; the join is over kinds.
 
 A set is embedded as PLACES minhashes.  A run begins with all kinds in one node; a node picks BRANCH of the places, from a
-hash of its path, and a kind goes to the child of the value that it has there.  Nodes of at most BUCKET kinds are compared
+hash of its path, and a kind goes to the child of the value that it has there.  Runs are repeated until the expected recall is RECALL.  Nodes of at most BUCKET kinds are compared
 by brute force: kinds whose minhashes agree in CLOSE of the places go on to an exact check on whole sets.  Larger
 nodes split again; after DEPTH levels the rest is compared in blocks, each pair of blocks a task's work, so that a node compares each of its pairs once.  Kinds with similarity
-s share s * BRANCH children on average, and a run loses a pair with s = 0.8 with a probability of at most 1/16 (the extinction
-of that branching process).  All runs and CLOSE read the same PLACES minhashes: over the binomial number of them that agree, RUNS
-runs lose 4.0e-5 of such pairs and CLOSE 2.7e-8, a recall of 0.99996 at 0.8.  A pair that several nodes hold counts
-in the one whose path is smallest.
+s share s * BRANCH children on average, and a run loses a pair with the probability that this branching dies out (1/16 at 0.8).  All
+runs and CLOSE read the same PLACES minhashes: over the binomial number of them that agree, four runs lose at most 5.6e-5 of the pairs with s = 0.8
+and CLOSE 2.7e-8 more, a recall of 0.99994.  A pair that several nodes hold counts in the one whose path is smallest.
 
 Defined cases: a null text, or one without words, is in no class but its own; repeated rows and equal texts are copies;
 null doc_ids are kept, as null; an empty table gives no row; other columns are not read, whatever their names.
@@ -18,6 +17,7 @@ null doc_ids are kept, as null; an empty table gives no row; other columns are n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -30,13 +30,36 @@ from pyspark.sql import functions as F
 from acctframe.llm import _io, _text
 
 SHINGLE, SIMILARITY = 5, 0.8
-PLACES, BRANCH, RUNS, DEPTH, BUCKET = 128, 2, 4, 4, 4096
+PLACES, BRANCH, DEPTH, BUCKET = 128, 2, 4, 4096
 #: Share of minhashes that must agree: six standard deviations below SIMILARITY.
 CLOSE = SIMILARITY - 6 * (SIMILARITY * (1 - SIMILARITY) / PLACES) ** 0.5
+#: Expected share of the pairs with similarity SIMILARITY that all runs together find, at least.
+RECALL = 0.9999
 U64 = np.uint64
 _FACTORS = _text.mix64(np.arange(1, PLACES + 1, dtype=U64) * U64(_text.BASE)) | U64(1)
 
 
+def expected_recall(runs: int, similarity: float = SIMILARITY) -> float:
+    """Share of pairs of a similarity that some run finds and CLOSE lets pass, over the minhashes that agree."""
+    need, found = math.ceil(CLOSE * PLACES), 0.0
+    for agree in range(need, PLACES + 1):
+        s = agree / PLACES
+        lost = min(1.0, ((1 - s) / s) ** 2)  # the least solution of q = (1 - s + s * q) ** BRANCH for two branches
+        found += math.comb(PLACES, agree) * similarity**agree * (1 - similarity) ** (PLACES - agree) * (1 - lost**runs)
+    return found
+
+
+def runs_for(recall: float) -> int:
+    """The fewest runs whose expected recall is `recall`."""
+    runs = 1
+    while expected_recall(runs) < recall:
+        runs += 1
+    return runs
+
+
+RUNS = runs_for(RECALL)
+
+
 def shingle_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(values, cuts): each text's shingle hashes in order, without repeats."""
     docs = len(offs) - 1

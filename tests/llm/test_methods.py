@@ -275,6 +275,24 @@ def test_chosen_path_at_many_blocks(spark, monkeypatch):
         assert {r.doc_id: r.n_links for r in chosen_path.classes(docs).collect()} == want
 
 
+def test_runs_reach_the_target_recall(monkeypatch):
+    """The expected recall against simulated pairs that go down the tree, and the runs that targets need."""
+    assert chosen_path.RUNS == 4 and chosen_path.runs_for(0.9) == 1 and 0.9999 < chosen_path.expected_recall(4) < 0.99997
+    rng, n, found = np.random.default_rng(6), 4000, 0
+    same = rng.random((n, chosen_path.PLACES)) < 0.8
+    left = np.where(same, 1, 2).astype(np.uint32)
+    right = np.ones_like(left)
+    for k in range(n):
+        alive = np.array([1], np.uint64)
+        for _ in range(12):
+            sides = [np.concatenate(chosen_path.children(alive, np.repeat(x[k : k + 1], len(alive), 0))) for x in (left, right)]
+            alive = np.unique(sides[0][sides[0] == sides[1]])[:64]
+            if not len(alive):
+                break
+        found += len(alive) > 0
+    assert abs(found / n - chosen_path.expected_recall(1)) < 0.02
+
+
 def test_spans_of_equal_rows_are_removed(spark):
     text = "".join(chr(97 + i * i % 26) for i in range(1200))
     docs = spark.createDataFrame([(1, text), (1, text), (None, text[100:700]), (2, "x")], "doc_id long, text string")
