@@ -11,7 +11,8 @@ from acctframe.llm import _bpe, _io, chosen_path, decontam, packing, quality, su
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: pieces of packed sequences."""
+    """The last stage: pieces of packed sequences.  A null or empty text is its end token alone; null doc_ids, repeated rows and columns
+    of any other name are allowed; no documents give no pieces."""
     return packing.pack(docs, _bpe.default_vocabulary())
 
 
@@ -23,7 +24,7 @@ STAGES = [
     ("hilbert_packing", pack),
 ]
 
-#: Trained models and iterated joins are beyond SQL; tests hold each stage against a brute-force version.
+#: Trained models and iterated joins are beyond SQL; tests/llm/test_methods.py holds the rows of each stage against a brute-force version.
 ORACLE_SQL = None
 
 
