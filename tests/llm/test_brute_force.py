@@ -13,6 +13,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from acctframe.llm import _bpe, _io, _text, audio, chosen_path, decontam, edit_counts, katz, packing, quality, queries, suffix_dedup, token_files, warc_audit
@@ -44,10 +45,12 @@ def test_encoder_equals_library(docs, encoder):
             assert ids[at[i] : at[i + 1]].tobytes() == encoder.whole(data[offs[i] : offs[i + 1]].tobytes().decode())
 
 
-@pytest.mark.parametrize("vocabulary", [1 << 20, 40])
-def test_katz(spark, sf, docs, monkeypatch, vocabulary):
+@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("vocabulary", [1 << 19, 40])
+def test_katz(spark, sf, docs, monkeypatch, vocabulary, order):
     monkeypatch.setattr(katz, "VOCABULARY", vocabulary)
     monkeypatch.setattr(katz, "SPREAD", 8)
+    monkeypatch.setattr(katz, "HOT", 5)
     words = {k: [*re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER)), None] for k, t in docs.items()}
     train = {k for k in docs if zlib.crc32(str(k).encode()) % 7 != 2}
     one, two, after = collections.Counter(), collections.Counter(), collections.defaultdict(set)
@@ -72,13 +75,42 @@ def test_katz(spark, sf, docs, monkeypatch, vocabulary):
     p = lambda h, w: disc(d2, two[h, w]) / size[h] if two[h, w] else alpha.get(h, 1.0) * p1(w)
     for h in list(after)[:4]:
         assert abs(sum(p(h, w) for w in one) + alpha[h] * unknown - 1) < 1e-9
-    got = by_doc(katz.query(spark, sf))
+    three, kept, size3, alpha3 = collections.Counter(), collections.defaultdict(dict), {}, {}
+    if order > 2:
+        for k in train:
+            u, v = None, None
+            for w in words[k]:
+                three[u, v, w] += 1
+                u, v = v, w
+        d3 = katz.discounts([sum(n == r for n in three.values()) for r in range(1, katz.CUT + 2)])
+        d3[1 : katz.KEPT] = 0
+        mass, lost3 = collections.Counter(), collections.Counter()
+        for (u, v, w), c in three.items():
+            mass[u, v] += c
+            lost3[u, v] += c - disc(d3, c)
+            if c >= katz.KEPT:
+                kept[u, v][w] = c
+        for uv, seen in kept.items():
+            gone = lost3[uv] if lost3[uv] > 1e-12 else 0
+            size3[uv] = mass[uv] + (gone == 0)
+            alpha3[uv] = (gone or 1) / size3[uv] / (1 - sum(p(uv[1], w) for w in seen))
+        assert len(kept) > 100 and any(len(x) > 1 for x in kept.values())
+    p2 = p
+    p = lambda u, v, w: disc(d3, kept[u, v][w]) / size3[u, v] if w in kept.get((u, v), {}) else alpha3.get((u, v), 1.0) * p2(v, w)
+    for u, v in list(kept)[:4]:
+        assert abs(sum(p(u, v, w) for w in one) + alpha3[u, v] * alpha.get(v, 1.0) * unknown - 1) < 1e-9
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    if order == 2:
+        model = katz.fit(table.where(~katz.held_out(table.doc_id)), 2)
+        got = by_doc(katz.score(table, model).withColumn("held_out", katz.held_out(F.col("doc_id"))).withColumn("train_tokens", F.lit(model.total)))
+    else:
+        got = by_doc(katz.query(spark, sf))
     better = 0
     for k, ws in words.items():
         r = got[k]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (k not in train, len(ws), sum(one[w] > 0 for w in ws), total)
         assert math.isclose(r.base_score, sum(math.log10((one[w] + 1) / (total + len(one) + 1)) for w in ws), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(h, w)) for h, w in zip([None, *ws[:-1]], ws, strict=True)), rel_tol=1e-7)
+        assert math.isclose(r.score, sum(math.log10(p(u, v, w)) for u, v, w in zip([None, None, *ws[:-2]][: len(ws)], [None, *ws[:-1]], ws, strict=True)), rel_tol=1e-7)
         better += r.score > r.base_score
     assert better > 0.9 * len(docs)
 
