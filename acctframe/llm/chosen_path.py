@@ -173,6 +173,7 @@ def close_pairs(sketch: np.ndarray, side: np.ndarray | None = None) -> tuple[np.
     return np.concatenate(left or [none]), np.concatenate(right or [none])
 
 
+@_text.trimmed
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Brute force in a bucket: each kind with the kinds after it that look close, of those that no node with a smaller path holds too."""
     for group in _groups(batches, "bucket"):
@@ -192,6 +193,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([mine] * len(live), pa.int64()), pa.array(kind[live]), pa.array(parts, pa.list_(pa.int64()))], names=["bucket", "kind", "close"])
 
 
+@_text.trimmed
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact similarities of close kinds of a bucket: each kind's links there, and the least kind that it is joined with."""
     for group in _groups(batches, "bucket"):

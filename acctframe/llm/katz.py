@@ -1,16 +1,20 @@
-"""Katz backoff language model: Good-Turing discounted 1- and 2-gram counts, exactly normalised, in partitioned tables.
+"""Katz backoff language model: Good-Turing discounted 1-, 2- and 3-gram counts, exactly normalised, in partitioned tables.
 
-Tokens are the words of the lower-cased text and then one end; the history of a first word is an end.  With c the training
-counts, d the Good-Turing discounts (counts up to CUT), and D the history's count (one more where nothing was discounted):
+Tokens are the words of the lower-cased text and then one end; ends stand before a first word.  With c the training
+counts, d the Good-Turing discounts of an order (counts up to CUT), and D a history's count (one more where nothing was discounted):
 
-    P(w | h) = d(c(h, w)) * c(h, w) / D(h)       if c(h, w) > 0, else
-               alpha(h) * P(w)                    and alpha(h) = 1 if h is new, so that each history's sum is 1
-    P(w)     = d(c(w)) * c(w) / D                 if c(w) > 0, else the mass left over, given to one unknown word
+    P(w | u v) = d(c(u, v, w)) * c(u, v, w) / D(u, v)   if c(u, v, w) >= KEPT, else  alpha(u, v) * P(w | v)
+    P(w | v)   = d(c(v, w)) * c(v, w) / D(v)            if c(v, w) > 0, else         alpha(v) * P(w)
+    P(w)       = d(c(w)) * c(w) / D                     if c(w) > 0, else the mass left over, given to one unknown word
+
+alpha makes each history's sum 1; it is 1 for a history without kept followers.  A token is evaluated from the triple down: its bucket of
+triples adds log P(w | u v) - log P(w | v), or log alpha(u, v), to what its bucket of pairs gives, which adds log alpha(v) to the word's.
 
 Words are 63-bit hashes.  Words from a count threshold on, VOCABULARY of them at most, have numbers and their statistics are
-broadcast; that bounds the broadcast only: the rest is counted and scored alike, through joins on the word.  Pairs travel as sorted, packed
-blocks, one per slice of text and bucket.  Pairs of a bucket meet in one task; the pairs of the commonest histories are
-dealt over all buckets.  Documents are scored in three steps: pairs by bucket, sums by slice, rare words by join.
+broadcast; that bounds the broadcast only: the rest is counted and scored alike, through joins on the word.  Pairs and triples travel as sorted,
+packed blocks, one per slice of text and bucket, and are counted in one shuffle.  Those of a history meet in one task; those of the
+commonest histories are dealt over all buckets (SPREAD, HOT).  The pairs' probabilities under kept triples are fetched once, from bucket to
+bucket, as the model is fitted.  Documents are scored by pairs in buckets, sums by slice, rare words by join, then by triples in buckets.
 
 Defined cases: a null or empty text is its end token; a null doc_id counts as training; repeated rows count and score each for
 itself; without training text every token is the unknown word, of probability 1; an empty table gives no row; other columns are
@@ -32,6 +36,7 @@ from acctframe.llm import _io, _text
 
 CUT = 5
 ORDER = 3
+#: Words with numbers, at most; three numbers are to fit in one of 64 bits.
 VOCABULARY = 1 << 19
 #: Histories with a number below this have their pairs dealt over all buckets.
 SPREAD = 4096
@@ -238,6 +243,7 @@ def _batch(n: int, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in COUNTED], schema=COUNTED)
 
 
+@_text.trimmed
 def _count(batches: Iterator[pa.RecordBatch], vocabulary, p1) -> Iterator[pa.RecordBatch]:
     """Counts of a bucket's pairs ('pairs', with how many have each low count), histories' sums ('history'), and the
     pairs whose word has no number ('rare'); then of its triples ('triples'), and sums of hot histories ('hot')."""
@@ -416,6 +422,7 @@ def _by_pair_bucket(v: np.ndarray, w: np.ndarray, buckets: int) -> tuple[np.ndar
     return at[order], order
 
 
+@_text.trimmed
 def _answer(batches: Iterator[pa.RecordBatch], scorer) -> Iterator[pa.RecordBatch]:
     """P(w | v) of pairs that were asked for; a bucket's counts come first among its rows."""
     s, counts = scorer.value, None
@@ -445,6 +452,7 @@ def _answer(batches: Iterator[pa.RecordBatch], scorer) -> Iterator[pa.RecordBatc
 WEIGHED = "kind string, bucket long, block binary, h long, p double"
 
 
+@_text.trimmed
 def _weigh(batches: Iterator[pa.RecordBatch], buckets: int, d3: np.ndarray, hot: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """What each kept triple adds to the logarithm of its pair's probability, and the weights of histories that back off ('triples'); and
     the sums of the pairs' probabilities for hot histories ('hot')."""
@@ -583,6 +591,7 @@ def _left_over(at: int, cols: list[tuple[np.ndarray, np.ndarray, str]]) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(["rare"] * k), pa.array(np.full(k, at)), pa.array(doc[first].astype(np.int64)), pa.array(_text.to_i64(word[first])), *(pa.array(x) for x in n), *(pa.nulls(k, SCORED.field(i).type) for i in range(8, 14))], schema=SCORED)
 
 
+@_text.trimmed
 def _score_pairs(batches: Iterator[pa.RecordBatch], scorer) -> Iterator[pa.RecordBatch]:
     """Scores pairs against their bucket's counts, which come first among its rows."""
     s, now, counts, none = scorer.value, None, None, (None,) * 4
@@ -707,6 +716,7 @@ class Gains:
         return out
 
 
+@_text.trimmed
 def _score_triples(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
     """What triples add to their documents' scores; a bucket's table comes first among its rows."""
     now, gains = None, None

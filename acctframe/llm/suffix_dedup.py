@@ -259,6 +259,7 @@ def digests(raw: bytes, length: int = LENGTH) -> np.ndarray:
     return out
 
 
+@_text.trimmed
 def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Works off shards that arrive one after the other (rows sorted by shard)."""
     held: list[dict] = []
