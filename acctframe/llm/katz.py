@@ -24,7 +24,7 @@ not read, whatever their names.  All texts are read whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -57,19 +57,37 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of unsigned 64-bit numbers as byte planes, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(a).to_bytes(8, "little") + np.ascontiguousarray(a.astype(U64).view(np.uint8).reshape(-1, 8).T).tobytes() for a in arrays]))
+    """Arrays of unsigned 64-bit numbers as planes of the bytes that they need, compressed."""
+    out = []
+    for a in arrays:
+        a = np.ascontiguousarray(a, U64) if a.dtype == U64 else a.astype(U64)
+        planes = -(-int(a.max()).bit_length() // 8) if len(a) else 0
+        out.append(len(a).to_bytes(8, "little") + bytes([planes]))
+        out.append(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes())
+    return _packer().compress(b"".join(out))
 
 
 def unpack(raw: bytes) -> list[np.ndarray]:
-    data, at, out = zstandard.ZstdDecompressor().decompress(raw), 0, []
+    data, at, out = _unpacker().decompress(raw), 0, []
     while at < len(data):
-        n = int.from_bytes(data[at : at + 8], "little")
-        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, at + 8).reshape(8, n).T).view(U64).ravel())
-        at += 8 + 8 * n
+        n, planes = int.from_bytes(data[at : at + 8], "little"), data[at + 8]
+        a = np.zeros((n, 8), np.uint8)
+        a[:, :planes] = np.frombuffer(data, np.uint8, planes * n, at + 9).reshape(planes, n).T
+        out.append(a.view(U64).ravel())
+        at += 9 + planes * n
     return out
 
 
+@cache
+def _packer() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
+@cache
+def _unpacker() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def delta(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=U64(0))
 
@@ -99,10 +117,26 @@ def bucket_of(h: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
     return (_text.mix64(np.where(h < SPREAD, h * U64(_text.BASE) + w, h)) % U64(buckets)).astype(np.int64)
 
 
+#: Distinct words of slices that are gathered before they are handed on.
+GATHERED = 1 << 20
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged():
+        w, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(w)
+        first = _firsts(w[order])
+        return pa.RecordBatch.from_arrays([pa.array(_text.to_i64(w[order][first])), pa.array(np.add.reduceat(n[order], first))], names=["w", "c"])
+
     for _, data, offs in _text.text_slices(batches, most=SLICE):
-        w, n = np.unique(tokens(data, offs)[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(_text.to_i64(w)), pa.array(n)], names=["w", "c"])
+        held.append(np.unique(tokens(data, offs)[0], return_counts=True))
+        if sum(len(w) for w, _ in held) >= GATHERED:
+            yield merged()
+            held = []
+    if held:
+        yield merged()
 
 
 class Slice:
@@ -189,6 +223,17 @@ class Counts:
         keys = _pair_key(h[n:], w[n:])
         order = np.argsort(keys)
         self.keys, self.counts = keys[order], c[n:][order].astype(np.int64)
+        self.rare = h[n:][h[n:] >= TOP], c[n:][h[n:] >= TOP].astype(np.int64)
+
+    def weigh(self, discounts: np.ndarray) -> None:
+        """Makes D of the histories without a number, which have all their pairs here."""
+        h, c = self.rare
+        self.ids, which = np.unique(h, return_inverse=True)
+        lost = np.bincount(which, weights=(c * (1 - discounts[np.minimum(c, CUT + 1)])), minlength=len(self.ids))
+        self.sizes = np.bincount(which, weights=c, minlength=len(self.ids)) + (lost == 0)
+
+    def size(self, h: np.ndarray) -> np.ndarray:
+        return self.sizes[np.searchsorted(self.ids, h)]
 
     @staticmethod
     def _find(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -430,21 +475,14 @@ def _answer(batches: Iterator[pa.RecordBatch], scorer) -> Iterator[pa.RecordBatc
         for bucket, kind, origin, block in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "origin", "block")), strict=True):
             if kind == "counts":
                 h, w, c = unpack(block)
-                h = undelta(h)
-                counts = Counts(h, w, c)
-                rare = h >= TOP
-                cs = c[rare].astype(np.int64)
-                lost = np.zeros(len(cs))
-                for r in range(1, CUT + 1):
-                    lost[cs == r] = r * (1 - s.discounts[r])
-                ids, which = np.unique(h[rare], return_inverse=True)
-                size = np.bincount(which, weights=cs, minlength=len(ids)) + (np.bincount(which, weights=lost, minlength=len(ids)) == 0)
+                counts = Counts(undelta(h), w, c)
+                counts.weigh(s.discounts)
                 continue
             v, w = unpack(block)
             c = counts.of(v, w)
             whole, inner = np.empty(len(v)), v < TOP
             whole[inner] = 10 ** s.d_log[v[inner].astype(np.int64)]
-            whole[~inner] = size[np.searchsorted(ids, v[~inner])] if (~inner).any() else 0
+            whole[~inner] = counts.size(v[~inner])
             p = s.discounts[np.minimum(c, CUT + 1)] * c / whole
             yield pa.RecordBatch.from_arrays([pa.array([origin], pa.int64()), pa.array([bucket], pa.int64()), pa.array([pack(p.view(U64))], pa.binary())], names=["bucket", "pair_bucket", "block"])
 
@@ -568,8 +606,8 @@ def _score_blocks(batches: Iterator[pa.RecordBatch], scorer) -> Iterator[pa.Reco
         at += 1
 
 
-SCORED = pa.schema([("kind", pa.string()), ("slice", pa.int64()), ("at", pa.int64()), ("w", pa.int64()), ("n_b", pa.int64()), ("n_d", pa.int64()), ("n_a", pa.int64()), ("n_p", pa.int64()), *((f.name, f.type) for f in TO_SCORE if f.name in ("ids", "ths", "n", "known", "base")), ("sums", pa.list_(pa.float64()))])
-SCORED_DDL = "kind string, slice long, at long, w long, n_b long, n_d long, n_a long, n_p long, ids array<long>, ths array<long>, n array<long>, known array<long>, base array<double>, sums array<double>"
+SCORED = pa.schema([("kind", pa.string()), ("slice", pa.int64()), ("at", pa.int64()), ("w", pa.int64()), ("n_b", pa.int64()), ("n_a", pa.int64()), ("n_p", pa.int64()), *((f.name, f.type) for f in TO_SCORE if f.name in ("ids", "ths", "n", "known", "base")), ("sums", pa.list_(pa.float64()))])
+SCORED_DDL = "kind string, slice long, at long, w long, n_b long, n_a long, n_p long, ids array<long>, ths array<long>, n array<long>, known array<long>, base array<double>, sums array<double>"
 
 
 def _pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -582,19 +620,19 @@ def _left_over(at: int, cols: list[tuple[np.ndarray, np.ndarray, str]]) -> pa.Re
     if not len(doc):
         return None
     word = np.concatenate([c[1] for c in cols])
-    which = np.concatenate([np.full(len(c[0]), "bdap".index(c[2])) for c in cols])
+    which = np.concatenate([np.full(len(c[0]), "bap".index(c[2])) for c in cols])
     order = np.lexsort((word, doc))
     doc, word, which = doc[order], word[order], which[order]
     first = _firsts(doc, word)
-    n = [np.add.reduceat((which == k).astype(np.int64), first) for k in range(4)]
+    n = [np.add.reduceat((which == k).astype(np.int64), first) for k in range(3)]
     k = len(first)
-    return pa.RecordBatch.from_arrays([pa.array(["rare"] * k), pa.array(np.full(k, at)), pa.array(doc[first].astype(np.int64)), pa.array(_text.to_i64(word[first])), *(pa.array(x) for x in n), *(pa.nulls(k, SCORED.field(i).type) for i in range(8, 14))], schema=SCORED)
+    return pa.RecordBatch.from_arrays([pa.array(["rare"] * k), pa.array(np.full(k, at)), pa.array(doc[first].astype(np.int64)), pa.array(_text.to_i64(word[first])), *(pa.array(x) for x in n), *(pa.nulls(k, SCORED.field(i).type) for i in range(7, 13))], schema=SCORED)
 
 
 @_text.trimmed
 def _score_pairs(batches: Iterator[pa.RecordBatch], scorer) -> Iterator[pa.RecordBatch]:
     """Scores pairs against their bucket's counts, which come first among its rows."""
-    s, now, counts, none = scorer.value, None, None, (None,) * 4
+    s, now, counts, none = scorer.value, None, None, (None,) * 3
     for batch in batches:
         for row in batch.to_pylist():
             if row["bucket"] != now:
@@ -603,8 +641,9 @@ def _score_pairs(batches: Iterator[pa.RecordBatch], scorer) -> Iterator[pa.Recor
             if row["kind"] == "counts":
                 h, w, c = unpack(row["block"])
                 counts = Counts(undelta(h), w, c)
+                counts.weigh(s.discounts)
             elif row["kind"] == "docs":
-                yield _rows(SCORED, [("docs", at, None, None, None, None, None, None, row["ids"], row["ths"], row["n"], row["known"], row["base"], None)])
+                yield _rows(SCORED, [("docs", at, None, None, *none, row["ids"], row["ths"], row["n"], row["known"], row["base"], None)])
             elif row["kind"] == "rare":
                 doc, word = unpack(row["block"])
                 yield _left_over(at, [(doc, word, "b")])
@@ -618,12 +657,14 @@ def _score_pairs(batches: Iterator[pa.RecordBatch], scorer) -> Iterator[pa.Recor
                 value[seen] = s.gain[np.minimum(c[seen], CUT + 1)] + np.log10(c[seen])
                 x = seen & h_in
                 value[x] -= s.d_log[h[x].astype(np.int64)]
+                x = seen & ~h_in
+                value[x] -= np.log10(counts.size(h[x]))
                 x = ~seen & h_in
                 value[x] += s.a_log[h[x].astype(np.int64)]
                 x = ~seen & w_in
                 value[x] += s.p_log[w[x].astype(np.int64)]
                 yield _rows(SCORED, [("sums", at, None, None, *none, None, None, None, None, None, np.bincount(doc, weights=np.repeat(value, many), minlength=row["docs"]))])
-                each = [(np.repeat(mask, many), term, of) for mask, term, of in ((seen & ~h_in, "d", h), (~seen & ~h_in, "a", h), (~seen & ~w_in, "p", w))]
+                each = [(np.repeat(mask, many), term, of) for mask, term, of in ((~seen & ~h_in, "a", h), (~seen & ~w_in, "p", w))]
                 rest = _left_over(at, [(doc[m].astype(U64), np.repeat(of, many)[m], term) for m, term, of in each])
                 if rest is not None:
                     yield rest
@@ -771,10 +812,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     _io.release(spark)
     sums = made.where("kind <> 'rare'").select("slice", "kind", "ids", "ths", "n", "known", "base", "sums")
     per_doc = sums.repartition("slice").sortWithinPartitions("slice", "kind").mapInArrow(_add_up, "slice long, at long, doc_id long, th long, n_tokens long, known long, base double, score double")
-    owed = made.where("kind = 'rare'").select("slice", "at", "w", "n_b", "n_d", "n_a", "n_p").join(model.words, "w", "left")
+    owed = made.where("kind = 'rare'").select("slice", "at", "w", "n_b", "n_a", "n_p").join(model.words, "w", "left")
     c = F.coalesce("c", F.lit(0))
     base = F.col("n_b") * F.log10((c + 1) / F.lit(float(model.total + model.types + 1)))
-    more = F.col("n_a") * F.coalesce("a_log", F.lit(0.0)) - F.col("n_d") * F.coalesce("d_log", F.lit(0.0)) + F.col("n_p") * F.coalesce("p_log", F.lit(float(np.log10(model.unknown))))
+    more = F.col("n_a") * F.coalesce("a_log", F.lit(0.0)) + F.col("n_p") * F.coalesce("p_log", F.lit(float(np.log10(model.unknown))))
     owed = owed.groupBy("slice", "at").agg(F.sum(F.when(c > 0, F.col("n_b")).otherwise(0)).alias("known2"), F.sum(base).alias("base2"), F.sum(more).alias("score2"))
     out = per_doc.join(owed, ["slice", "at"], "left")
     zero = F.lit(0.0)
