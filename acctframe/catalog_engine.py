@@ -335,6 +335,14 @@ def merkle_root(spark, d):
     return stats.merkle_roots(n, "n_regionkey")
 
 
+@query('SELECT \'mint\' AS "index", CAST(count(DISTINCT mint) AS BIGINT) AS unique_keys, CAST(count(*) AS BIGINT) AS n_accounts FROM tok_lineitem UNION ALL SELECT \'token_owner\', count(DISTINCT token_owner), count(*) FROM tok_lineitem UNION ALL SELECT \'memcmp_64_8\', count(DISTINCT amount), count(*) FROM tok_lineitem', "tok_lineitem")
+def index_stats_tokens(spark, d):
+    """Totals of the token indexes and of a byte-match index at the amount."""
+    f = C.token_columns()
+    keys = {"mint": F.hex(f["mint"]), "token_owner": F.hex(f["token_owner"]), "memcmp_64_8": F.hex(C.bytes_at("data", 64, 8))}
+    return stats.index_totals(views.tok_data(spark, d), keys)
+
+
 # sets
 
 
