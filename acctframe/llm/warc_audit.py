@@ -50,11 +50,18 @@ def member(record: bytes) -> bytes:
     return z.compress(record) + z.flush()
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their record, the second column, as a gzip member."""
+    for batch in batches:
+        packed = pa.array([member(r.as_buffer()) for r in batch.column(1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), packed, *batch.columns[2:]], names=batch.schema.names)
+
+
 def _join(batches: Iterator[pa.RecordBatch], replicas: list[str]) -> Iterator[pa.RecordBatch]:
     """The content of a file, for each replica; a record with a true value in a replica's column is stored with its middle byte changed."""
     files: dict[str, list[bytes]] = {r: [] for r in replicas}
     for batch in batches:
-        stored = [member(r.as_buffer()) for r in batch.column("record")]
+        stored = batch.column(0).to_pylist()
         for k, r in enumerate(replicas):
             files[r] += [m[: len(m) // 2] + bytes([m[len(m) // 2] ^ 0xFF]) + m[len(m) // 2 + 1 :] if harm else m for m, harm in zip(stored, batch.column(k + 1).to_pylist(), strict=True)]
     if any(files.values()):
@@ -66,9 +73,10 @@ def write_replicas(recs: DataFrame, out: str, replicas: dict[str, object]) -> di
 
     replicas: name, and a condition for the records that are to be stored damaged there (or None), as a fixity drill wants them."""
     total = recs.agg(F.coalesce(F.sum(F.octet_length("record")), F.lit(0))).first()[0]
-    order = [F.col("page_id").asc_nulls_first(), F.sha2("record", 256), "row"]  # the row's place parts equal rows over files
+    order = [F.col("page_id").asc_nulls_first(), "sha", "row"]  # the row's place parts equal rows over files
     harm = {f"harm{k}": F.lit(False) if c is None else F.coalesce(c, F.lit(False)) for k, c in enumerate(replicas.values())}
-    rows = recs.select("page_id", "record", *[c.alias(n) for n, c in harm.items()], F.monotonically_increasing_id().alias("row"))
+    rows = recs.select("page_id", "record", F.sha2("record", 256).alias("sha"), *[c.alias(n) for n, c in harm.items()])
+    rows = rows.mapInArrow(_members, "page_id long, record binary, sha string, " + ", ".join(f"{n} boolean" for n in harm)).withColumn("row", F.monotonically_increasing_id())
     files = rows.repartitionByRange(max(1, -(-total // FILE_BYTES)), *order).sortWithinPartitions(*order).select("record", *harm).mapInArrow(partial(_join, replicas=list(replicas)), "content binary, replica string")
     files.select(F.col("content").cast("string").alias("value"), "replica").write.partitionBy("replica").option("lineSep", "\n").option("compression", "none").text(out)
     return {r: f"{out}/replica={r}" for r in replicas}
