@@ -58,9 +58,10 @@ def owner32(text) -> Column:
 
 
 def tok_data(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as token accounts: 72 bytes of mint (part), owner (supplier) and amount (quantity, little-endian)."""
-    amount = F.unhex(F.concat(F.lpad(F.hex(F.col("l_quantity").cast("long")), 2, "0"), F.lit("00" * 7)))
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("pubkey"), F.col("l_linenumber").cast("long").alias("line"), F.lit("token").alias("owner"), F.concat(key32(F.col("l_partkey")), key32(F.col("l_suppkey")), amount).alias("data"))
+    """Line items as token accounts: 72 bytes of mint (part), owner (supplier) and amount (quantity, below 128, little-endian); mint and token
+    owner are columns too, as a writer stores what queries look up."""
+    amount = F.encode(F.concat(F.char(F.col("l_quantity").cast("long")), F.lit("\0" * 7)), "UTF-8")
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("pubkey"), F.col("l_linenumber").cast("long").alias("line"), F.lit("token").alias("owner"), F.concat(key32(F.col("l_partkey")), key32(F.col("l_suppkey")), amount).alias("data"), key32(F.col("l_partkey")).alias("mint"), key32(F.col("l_suppkey")).alias("token_owner"))
 
 
 def part_accounts(spark: SparkSession, d: str) -> DataFrame:
